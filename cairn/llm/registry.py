@@ -1,6 +1,6 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from cairn.llm import decontam, mixing, ngram_join, rules
+from cairn.llm import decontam, language, mixing, ngram_join, quality, rules
 
-QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join, "op2_rules": rules.op2_rules, "op3_mixing": mixing.op3_mixing, "op5_decontam": decontam.op5_decontam}
+QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join, "op2_rules": rules.op2_rules, "op3_mixing": mixing.op3_mixing, "op4_quality": quality.op4_quality, "op5_decontam": decontam.op5_decontam, "op8_language": language.op8_language}
 SQL = {"op2_rules": rules.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op5_decontam": decontam.OP5_SQL}
