@@ -1 +1 @@
-
+"""Relational operators over image tables, as functions of DataFrames."""
