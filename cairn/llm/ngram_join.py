@@ -167,10 +167,10 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: fl
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """``doc_id, key, class_id, n_links, class_size`` of each document of ``docs`` (doc_id, text).
+    """``doc_id, key, class, class_id, n_links, class_size`` of each document of ``docs`` (doc_id, text).
 
     ``n_links`` counts the other documents, copies included, whose similarity reaches ``threshold``; a class holds
-    what links connect. ``key`` names the text.
+    what links connect. ``key`` names the text, ``class`` the class, null for a text without words.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     sketch = cut(keyed.mapInArrow(lambda b: _sketch(b, n), "doc_id long, key string, n_shingles long, bands array<long>"))
@@ -195,7 +195,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: f
     by = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
     out = rows.join(by, "class", "left")
     lone = F.col("n_shingles") == 0
-    return out.select("doc_id", "key", F.when(lone, F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.when(lone, 0).otherwise(F.col("n_links")).alias("n_links"), F.when(lone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+    return out.select("doc_id", "key", "class", F.when(lone, F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.when(lone, 0).otherwise(F.col("n_links")).alias("n_links"), F.when(lone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,8 @@ def repeat_words(ws: Column) -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts that the rules need."""
+    """``docs`` with the counts that the rules need, in place of columns of those names."""
+    docs = docs.drop("_w", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "base_failed", "failed", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE[1:-1]}]"))
     with_words = docs.withColumn("_w", words(F.col("text")))

@@ -145,7 +145,8 @@ def _with_terms(rows: DataFrame, chosen: set[str]) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` and ``evidence`` (ids of the nearest examples and cosines)."""
+    """``docs`` with ``score`` and ``evidence`` (ids of the nearest examples and cosines), in place of such columns."""
+    docs = docs.drop("score", "evidence")
     schema = docs.select("*", F.lit(0.0).alias("score"), F.array(F.struct(F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("cosine"))).alias("evidence")).schema
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
@@ -158,6 +159,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(rows, schema)
 
 
+def kept(docs: DataFrame, model: Model, at: float = CUT) -> DataFrame:
+    """The rows of ``docs`` with a score below ``at``, as they are."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.score(t.as_py())[0] < at for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, read(spark, sf_dir, "labels")))
