@@ -2,14 +2,14 @@
 
 ``postings`` is the index: (text key, position, term) of training tokens. ``phrase_hits`` intersects offset-adjusted
 lists from the rarest term of each test phrase. A position list need only be intersected where the rarest term's list
-has an entry, so the other terms are looked up beside that entry, in the text's own token array, while the row is at
-hand: every posting is made and probed, none of the frequent terms' lists is shuffled. ``proximity_hits`` finds all of
+has an entry, so the other terms are looked up beside that entry, in the tokens about it, while the row is at hand: every posting is made and probed, none of the frequent terms' lists is shuffled. ``proximity_hits`` finds all of
 a phrase's terms, in any order, within a given number of words.
 
 Scale: terms are counted with a partial aggregate over the terms of the test set only; the phrases' table is broadcast
 once its counted rows fit a bound, and is otherwise joined by a shuffle on the term. Only hits are shuffled.
 
 Defined cases: null or empty texts and items have no words and hit nothing; an item of under ten words is one phrase;
+an item without an id hits but is not named or counted;
 rows are matched by their text, so repeated ids and rows each get their own result; empty tables give no hits; other
 columns are ignored.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from cairn.llm.shared import cut, read, small, text_key
 
 WINDOW = 10
+BLOCK = 64
 #: What lies between words: ASCII other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -45,10 +46,22 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("phrase").agg(F.collect_set("item_id").alias("item_ids"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``key, ws, pos, term``: a row for each token of ``docs`` (text), with its position from 0."""
-    held = docs.select(text_key(F.col("text")).alias("key"), tokens(F.col("text")).alias("ws"))
-    return held.select("key", "ws", F.posexplode("ws").alias("pos", "raw")).withColumn("term", lower_ascii(F.col("raw")))
+def postings(docs: DataFrame, reach: int = 0) -> DataFrame:
+    """``key, pos, term``: a row for each token of ``docs`` (text), with its position from 0; the index.
+
+    With a ``reach``, also ``around`` and ``at``: the tokens of a stretch of the text, at least ``reach`` before and
+    after the token as far as the text goes, and the token's place in it. Stretches hold ``BLOCK`` tokens and what is
+    in reach of them, so a row stays small however long its text is.
+    """
+    held = docs.select(text_key(F.col("text")).alias("key"), tokens(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    if not reach:
+        return held.select("key", F.posexplode("ws").alias("pos", "raw")).select("key", "pos", lower_ascii(F.col("raw")).alias("term"))
+    lead = lambda i: F.least(i * BLOCK, F.lit(reach))
+    stretch = lambda i: F.struct((i * BLOCK).alias("base"), lead(i).alias("lead"), F.slice("ws", i * BLOCK - lead(i) + 1, F.lit(BLOCK + reach) + lead(i)).alias("around"))
+    last = F.floor((F.size("ws") - 1) / BLOCK).cast("int")
+    each = held.select("key", F.explode(F.transform(F.sequence(F.lit(0), last), stretch)).alias("x")).select("key", "x.*")
+    rows = each.select("key", "base", "lead", "around", F.posexplode(F.slice("around", F.col("lead") + 1, F.lit(BLOCK))).alias("i", "raw"))
+    return rows.select("key", (F.col("base") + F.col("i")).alias("pos"), lower_ascii(F.col("raw")).alias("term"), "around", (F.col("lead") + F.col("i")).alias("at"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -64,12 +77,12 @@ def anchored(ps: DataFrame, counted: DataFrame) -> DataFrame:
     return each.groupBy("phrase").agg(F.first("item_ids").alias("item_ids"), first.alias("a")).select("phrase", "item_ids", "a.offset", "a.term")
 
 
-def phrase_hits(docs: DataFrame, ps: DataFrame) -> DataFrame:
+def phrase_hits(docs: DataFrame, ps: DataFrame, window: int = WINDOW) -> DataFrame:
     """``key, start, end, item_ids``: each occurrence of a phrase as consecutive words, ``end`` exclusive."""
-    n, start = F.size("phrase"), F.col("pos") - F.col("offset")
-    inside = (start >= 0) & (start + n <= F.size("ws"))
-    same = F.transform(F.slice("ws", F.greatest(start, F.lit(0)) + 1, n), lower_ascii) == F.col("phrase")
-    found = postings(docs).join(small(ps, 1024), "term").filter(inside).filter(same)
+    n, start, first = F.size("phrase"), F.col("pos") - F.col("offset"), F.col("at") - F.col("offset")
+    inside = (first >= 0) & (first + n <= F.size("around"))
+    same = F.transform(F.slice("around", F.greatest(first, F.lit(0)) + 1, n), lower_ascii) == F.col("phrase")
+    found = postings(docs, window).join(small(ps, 1024), "term").filter(inside).filter(same)
     return found.select("key", start.alias("start"), (start + n).alias("end"), "item_ids").distinct()
 
 
@@ -78,10 +91,11 @@ def proximity_hits(docs: DataFrame, ps: DataFrame, within: int) -> DataFrame:
 
     ``start`` and ``end`` bound the words looked at, the text's limits observed.
     """
-    start = F.greatest(F.lit(0), F.col("pos") - within)
-    near = F.transform(F.slice("ws", start + 1, 2 * within + 1), lower_ascii)
-    found = postings(docs).join(small(ps, 1024), "term").filter(F.size(F.array_except("phrase", near)) == 0)
-    return found.select("key", start.alias("start"), F.least(F.size("ws"), F.col("pos") + within + 1).alias("end"), "item_ids").distinct()
+    first = F.greatest(F.lit(0), F.col("at") - within)
+    near = F.transform(F.slice("around", first + 1, F.col("at") - first + within + 1), lower_ascii)
+    found = postings(docs, within).join(small(ps, 1024), "term").filter(F.size(F.array_except("phrase", near)) == 0)
+    start = F.col("pos") - F.col("at") + first
+    return found.select("key", start.alias("start"), (F.col("pos") + F.least(F.lit(within + 1), F.size("around") - F.col("at"))).alias("end"), "item_ids").distinct()
 
 
 def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -91,7 +105,7 @@ def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
 
 
 def covered(hits: DataFrame) -> DataFrame:
-    """``key, n_hit, items``: words of a text inside any hit, and the items that hit it, sorted as strings.
+    """``_cairn_key, n_hit, items``: words of a text inside any hit, and the items that hit it, sorted as strings.
 
     Hits of a text are put in order to count overlaps once; their number is bounded by the text's own length.
     """
@@ -100,13 +114,19 @@ def covered(hits: DataFrame) -> DataFrame:
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))))
     n = spans.select("key", fresh.alias("n")).groupBy("key").agg(F.sum("n").alias("n_hit"))
     who = hits.select("key", F.explode("item_ids").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    return n.join(who, "key").withColumnsRenamed({"key": "h_key"})
+    return n.join(who, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumnRenamed("key", "_cairn_key")
+
+
+def hit_texts(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """What ``covered`` says of the texts of ``docs`` that have any hit."""
+    return cut(covered(phrase_hits(docs, anchors(docs, items, window), window)))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``n_words, n_hit, items, contaminated``."""
-    found = cut(covered(phrase_hits(docs, anchors(docs, items, window))))
-    marked = docs.withColumn("n_words", F.size(tokens(F.col("text"))).cast("long")).join(small(found, 1024), text_key(F.col("text")) == F.col("h_key"), "left").drop("h_key")
+    """``docs`` with ``n_words, n_hit, items, contaminated``, in place of columns of those names."""
+    docs = docs.drop("n_words", "n_hit", "items", "contaminated", "_cairn_key")
+    found = hit_texts(docs, items, window)
+    marked = docs.withColumn("n_words", F.size(tokens(F.col("text"))).cast("long")).join(small(found, 1024), text_key(F.col("text")) == F.col("_cairn_key"), "left").drop("_cairn_key")
     return marked.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": F.coalesce(F.col("n_hit") > 0, F.lit(False))})
 
 
@@ -130,7 +150,7 @@ WITH b AS (
 ), n AS (
   SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r
 ), who AS (
-  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r
+  SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
