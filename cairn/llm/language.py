@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Trained on the driver on the tokens of at most ``BOUND`` documents a language. Every position of every token of a
-text gets label probabilities; a text's are their mean over positions of letters. The network sees a token and its
+text gets label probabilities; a text's are their geometric mean over positions of letters, scaled to sum to one. The network sees a token and its
 boundaries, so equal tokens have equal outputs and are run once for each worker, as long as its table of ``KNOWN``
 tokens lasts; the table starts anew when full, which changes no result.
 
@@ -24,9 +24,10 @@ from cairn.llm.learning import by_language, remainder
 from cairn.llm.recurrent import PIECE, Network, padded
 from cairn.llm.shared import read
 
-BOUND = 200
-TOKENS = 12_000
+BOUND = 400
+TOKENS = 20_000
 KNOWN = 200_000
+FLOOR = 1e-3
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -36,7 +37,11 @@ def pieces(token: str) -> list[bytes]:
 
 
 def train(docs: DataFrame, bound: int = BOUND, tokens: int = TOKENS) -> tuple[list[str], Network | None]:
-    """The languages and the network; at most ``tokens`` distinct tokens of a language are learned, its most frequent."""
+    """The languages and the network; at most ``tokens`` distinct tokens of a language are learned, its most frequent.
+
+    A token weighs more the more often it is seen, and less in a language that has a small share of it, so texts with a
+    wrong label do little harm.
+    """
     rows = by_language(docs, 4, 2, bound).select("lang", "text").collect()
     counts: dict[str, Counter] = {}
     for row in rows:
@@ -44,18 +49,20 @@ def train(docs: DataFrame, bound: int = BOUND, tokens: int = TOKENS) -> tuple[li
     langs = sorted(counts)
     if not langs:
         return [], None
-    x, y = [], []
+    x, y, weight = [], [], []
+    totals = {lang: counts[lang].total() for lang in langs}
     for k, lang in enumerate(langs):
-        for token, _ in sorted(counts[lang].items(), key=lambda c: (-c[1], c[0]))[:tokens]:
+        for token, n in sorted(counts[lang].items(), key=lambda c: (-c[1], c[0]))[:tokens]:
+            every = sum(counts[other].get(token, 0) / totals[other] for other in langs)
             for p in pieces(token):
-                x.append(p), y.append(k)
+                x.append(p), y.append(k), weight.append(n / totals[lang] / every * (1 + np.log(n)))
     net = Network(len(langs))
-    net.train(x, np.array(y))
+    net.train(x, np.array(y), np.array(weight))
     return langs, net
 
 
 class Pooler:
-    """Sums of label probabilities over a token's letters, and their number, remembered by token."""
+    """Sums of log probabilities over a token's letters, and their number, remembered by token."""
 
     def __init__(self, net: Network):
         self.net, self.at, self.n = net, {}, 0
@@ -69,11 +76,11 @@ class Pooler:
             x, inside = padded([p for _, p in some])
             p = self.net.probabilities(x)
             rows = np.array([r for r, _ in some])
-            np.add.at(self.sums, (rows, slice(0, self.net.labels)), np.einsum("tbl,tb->bl", p, inside))
+            np.add.at(self.sums, (rows, slice(0, self.net.labels)), np.einsum("tbl,tb->bl", np.log(p + FLOOR), inside))
             np.add.at(self.sums[:, -1], rows, inside.sum(axis=0))
 
     def pool(self, text: str) -> np.ndarray:
-        """Mean probabilities of one text."""
+        """The pooled probabilities of one text."""
         total = np.zeros(self.net.labels + 1)
         tokens = text.split()
         for i in range(0, len(tokens), KNOWN // 2):
@@ -88,7 +95,8 @@ class Pooler:
                 self.learn(new)
             rows = np.fromiter(map(self.at.__getitem__, counts), np.int64, len(counts))
             total += np.fromiter(counts.values(), np.float64, len(counts)) @ self.sums[rows]
-        return total[:-1] / max(total[-1], 1e-9)
+        mean = np.exp(total[:-1] / max(total[-1], 1e-9))
+        return mean / mean.sum()
 
     def warm(self, texts: list[str]) -> None:
         """Learns the new tokens of several texts at once, which fills the network's batches."""

@@ -81,8 +81,8 @@ class Network:
             g[f"W{d}"], g[f"U{d}"] = gw, gu
         return loss, g
 
-    def train(self, tokens: list[bytes], y: np.ndarray, steps: int = 600, batch: int = 256, rate: float = 0.01, seed: int = 7) -> float:
-        """Fits ``y`` (a label for each token) and returns the last loss. Batches hold tokens of like length."""
+    def train(self, tokens: list[bytes], y: np.ndarray, weight: np.ndarray | None = None, steps: int = 1500, batch: int = 256, rate: float = 0.01, seed: int = 7) -> float:
+        """Fits ``y`` (a label for each token, of a ``weight``) and returns the last loss. Batches hold tokens of like length."""
         lengths = np.array([len(t) for t in tokens])
         order = np.argsort(lengths, kind="stable")
         r, m, v, loss = np.random.default_rng(seed), {}, {}, 0.0
@@ -90,7 +90,7 @@ class Network:
             at = int(r.integers(0, max(1, len(order) - batch + 1)))
             rows = order[at : at + batch]
             x, inside = padded([tokens[i] for i in rows])
-            loss, g = self.gradients(x, y[rows], inside)
+            loss, g = self.gradients(x, y[rows], inside if weight is None else inside * weight[rows].astype(np.float32))
             pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, d in g.items():
                 m[k] = 0.9 * m.get(k, 0) + 0.1 * d
