@@ -17,7 +17,7 @@ from cairn.llm.shared import cut, read, small, text_key
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a toxicity score of ``toxicity.CUT`` or more go."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("score") < toxicity.CUT).select(docs.columns)
+    return toxicity.kept(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +25,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are no duplicates of each other. Of repeated rows one stays.
     """
-    classes = cut(ngram_join.join(docs).withColumn("lone", F.col("class_size") == 1))
-    least = classes.filter("not lone").groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("least"))
-    gone = classes.filter("not lone").join(least, "class_id").filter(F.struct("doc_id", "key") != F.col("least"))
-    gone = cut(gone.select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key")).distinct())
+    classes = cut(ngram_join.join(docs))
+    least = classes.filter("class_size > 1").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    gone = classes.filter("class_size > 1").join(least, "class").filter(~F.struct("doc_id", "key").eqNullSafe(F.col("least")))
+    gone = cut(gone.select(F.col("doc_id").alias("_cairn_id"), F.col("key").alias("_cairn_key")).distinct())
     twice = classes.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    twice = cut(twice.select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key")))
-    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("g_id")) & text_key(F.col("text")).eqNullSafe(F.col("g_key"))
+    twice = cut(twice.select(F.col("doc_id").alias("_cairn_id"), F.col("key").alias("_cairn_key")))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_cairn_id")) & text_key(F.col("text")).eqNullSafe(F.col("_cairn_key"))
     kept = docs.join(small(gone, 128), mine, "left_anti")
     once = kept.join(small(twice, 128), mine, "left_anti")
     return once.unionByName(kept.join(small(twice, 128), mine, "left_semi").dropDuplicates(["doc_id", "text"]))
@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item, or a shorter item whole, go."""
-    marked = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return marked.filter(~F.col("contaminated")).select(docs.columns)
+    hit = decontam.hit_texts(docs, read(spark, sf_dir, "benchmark")).select("_cairn_key")
+    return docs.join(small(hit, 64), text_key(F.col("text")) == F.col("_cairn_key"), "left_anti")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,13 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes of a document."""
-    plan = mixing.mix(docs).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    plan = cut(plan.withColumnsRenamed({"doc_id": "_id", "source": "_source", "tie": "_tie"}).filter("_copies > 0"))
-    mine = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & F.md5("text").eqNullSafe(F.col("_tie"))
+    plan = mixing.mix(docs).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("_cairn_copies"), F.count("*").alias("_cairn_n"))
+    plan = cut(plan.withColumnsRenamed({"doc_id": "_cairn_id", "source": "_cairn_source", "tie": "_cairn_tie"}).filter("_cairn_copies > 0"))
+    mine = F.col("doc_id").eqNullSafe(F.col("_cairn_id")) & F.col("source").eqNullSafe(F.col("_cairn_source")) & F.md5("text").eqNullSafe(F.col("_cairn_tie"))
     taken = docs.join(small(plan, 256), mine)
-    once = taken.filter("_n = 1").unionByName(taken.filter("_n > 1").dropDuplicates(["doc_id", "source", "text"]))
-    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    once = taken.filter("_cairn_n = 1").unionByName(taken.filter("_cairn_n > 1").dropDuplicates(["doc_id", "source", "text"]))
+    rest = [c for c in docs.columns if c != "copy"]
+    return once.select(*rest, F.explode(F.sequence(F.lit(1), F.col("_cairn_copies").cast("int"))).alias("copy"))
 
 
 STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("decontamination", decontaminated), ("personal data", private), ("mixing", mixed)]
