@@ -11,7 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 
-BLOCK = 64
+BLOCK = 512
 
 
 class Index:
@@ -59,7 +59,7 @@ class Index:
                 lo, hi = cuts[b], cuts[b + 1]
                 if lo < hi:
                     score[at[lo:hi] - b * BLOCK] += w * weight[lo:hi]
-            found += [(-score[i], int(b) * BLOCK + int(i)) for i in np.flatnonzero(score > 0)]
+            found += [(-score[i], int(b) * BLOCK + int(i)) for i in np.flatnonzero((score > 0) & (score >= least - 1e-12))]
             found.sort()
             held, cut = 0.0, len(found)
             for j, (_, e) in enumerate(found):
