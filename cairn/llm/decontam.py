@@ -119,7 +119,7 @@ def covered(hits: DataFrame) -> DataFrame:
 
 def hit_texts(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """What ``covered`` says of the texts of ``docs`` that have any hit."""
-    return cut(covered(phrase_hits(docs, anchors(docs, items, window), window)))
+    return cut(covered(cut(phrase_hits(docs, anchors(docs, items, window), window))))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
