@@ -5,8 +5,8 @@ counts over distinct texts, PMI(t, e) = log2(n(t, e) N / (n(t) n(e))) is the inf
 IC(e) = log2(N / n(e)) all there is. A term whose share PMI / IC reaches ``DISCLOSES``, seen beside e in ``SUPPORT``
 texts or more, is a span in every text that holds e: generalised, or removed from a share of ``REMOVES`` on.
 
-Counts cover all texts. Pairs are aggregated before the shuffle, and only pairs with support have their terms counted
-through the corpus. Terms reach a text by the entities it holds, in a join; nothing that grows is broadcast unchecked.
+Counts cover all texts. Pairs are aggregated before the shuffle, and only terms that can disclose, by the counts beside
+entities, are counted through the corpus; each of a text's copies counts as its part of one. Terms reach a text by the entities it holds, in a join; nothing that grows is broadcast unchecked.
 
 Defined cases: null and empty texts have no spans; copies of a text count once and get equal spans; an empty table
 gives an empty result; other columns are kept by ``sanitised`` and ignored by the query.
@@ -116,16 +116,23 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES) -> DataFrame:
     """``entity, term, share`` of the terms that disclose an entity, from all of ``docs``."""
+    copies = cut(scanned.filter("key is not null").groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    total = cut(scanned.filter("key is not null").agg(F.countDistinct("key").cast("double").alias("n")))
     texts = scanned.filter("key is not null and size(entities) > 0")
     n_e = texts.select(F.explode("entities").alias("entity"), "key").groupBy("entity").agg(F.countDistinct("key").alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = texts.select(F.explode("pairs").alias("p"), "key").groupBy("p.entity", "p.term").agg(F.countDistinct("key").alias("n_te")).filter(F.col("n_te") >= support)
-    found = cut(pairs.join(n_e, "entity"))
+    each = texts.select(F.explode("pairs").alias("p"), "key").select("p.entity", "p.term", "key")
+    pairs = each.groupBy("entity", "term").agg(F.countDistinct("key").alias("n_te")).filter(F.col("n_te") >= support)
+    # A term is in at least the texts where it is beside any entity; most common words can't disclose by that alone.
+    least = each.groupBy("term").agg(F.countDistinct("key").alias("n_least"))
+    bound = F.col("n_te") * F.pow(F.col("n") / F.col("n_e"), 1 - discloses) * (1 + 1e-9)
+    found = pairs.join(n_e, "entity").join(least, "term").crossJoin(F.broadcast(total))  # one row
+    found = cut(found.filter(F.col("n_least") <= bound).drop("n_least"))
     terms = cut(found.select("term").distinct())
     ws = F.array_distinct(F.transform(F.split(F.col("text"), f"[^{LETTERS}]+"), F.lower))
-    each = docs.select(text_key(F.col("text")).alias("key"), F.explode(ws).alias("term")).join(small(terms, 64), "term")
-    n_t = each.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = scanned.filter("key is not null").agg(F.countDistinct("key").cast("double").alias("n"))
-    scored = found.join(n_t, "term").crossJoin(F.broadcast(total))  # one row
+    share_of = docs.select(text_key(F.col("text")).alias("key"), "text").join(small(copies, 64), "key", "left")
+    rows = share_of.select(F.coalesce(1.0 / F.col("copies"), F.lit(1.0)).alias("one"), F.explode(ws).alias("term"))
+    n_t = rows.join(small(terms, 64), "term").groupBy("term").agg(F.round(F.sum("one")).alias("n_t"))
+    scored = found.join(n_t, "term")
     share = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     return scored.filter("n_e < n").select("entity", "term", share.alias("share")).filter(F.col("share") >= discloses)
 
@@ -163,7 +170,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for t, base, found in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), b.column("_found").to_pylist(), strict=True):
+        for t, base, found in zip(b.column("text").to_pylist(), b.column("_cairn_spans").to_pylist(), b.column("_cairn_found").to_pylist(), strict=True):
             cuts = sorted([(x["start"], -x["end"], f"[{x['kind'].upper()}]") for x in base or []] + [(x["start"], -x["end"], "" if x["removed"] else "[TERM]") for x in found or []])
             if cuts:
                 parts, at = [], 0
@@ -173,16 +180,16 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = max(at, -e)
                 t = "".join([*parts, t[at:]])
             out.append(t)
-        names = [n for n in b.schema.names if n not in ("_spans", "_found")]
+        names = [n for n in b.schema.names if not n.startswith("_cairn_")]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by its kind, and disclosing terms generalised or removed."""
     scanned, found = spans(docs.select("doc_id", "text"))
-    base = scanned.filter("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("_spans"))
-    cuts = cut(base.join(found.select("key", F.col("found").alias("_found")), "key", "left").withColumnRenamed("key", "_key"))
-    joined = docs.join(small(cuts, 1024), text_key(F.col("text")) == F.col("_key"), "left").drop("_key")
+    base = scanned.filter("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("_cairn_spans"))
+    cuts = cut(base.join(found.select("key", F.col("found").alias("_cairn_found")), "key", "left").withColumnRenamed("key", "_cairn_key"))
+    joined = docs.join(small(cuts, 1024), text_key(F.col("text")) == F.col("_cairn_key"), "left").drop("_cairn_key")
     return joined.mapInArrow(_replaced, docs.schema)
 
 
