@@ -7,9 +7,10 @@ hash, so a string without an anchor seen twice is not repeated; this loses nothi
 
 Anchors are some 1 in 80 bytes. Those with a hash seen twice or more bring the bytes about them, and meet by hash:
 equal surroundings are one, with a count; the suffixes that start at each offset from an anchor are put in order by
-deep-shallow sorting, and those with an equal neighbour are repeated. Anchors of very common passages, over ``HOT``
-places, are not gathered in one task: their strings are counted by a 128-bit digest, with a partial aggregate before
-the shuffle, and each place is joined to its string's count.
+deep-shallow sorting, and those with an equal neighbour are repeated. A string is looked at with the anchor that is
+its least, so once. Anchors of very common passages, over ``HOT`` places, are not gathered in one task: their strings
+are decided by counts of 128-bit digests, first for ``CELL`` strings at a time, with partial aggregates before the
+shuffle; see ``common``.
 
 Exact copies of a text are set aside first: each is repeated whole if it has ``LENGTH`` bytes, and one stands for all.
 
@@ -33,9 +34,10 @@ from cairn.llm.suffixes import Sorter
 
 LENGTH = 200
 GRAM = 40
-HOT = 2_000
+HOT = 4_000
+CELL = 16
 _GAP = LENGTH - GRAM
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
@@ -47,11 +49,12 @@ def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - (n - have)], x[n - have :]) if have < n else x
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of anchors, and their hashes."""
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of anchors, their hashes, and the first and last start of the strings whose least hash theirs is."""
     n = len(data)
     if n < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        none = np.empty(0, np.int64)
+        return none, np.empty(0, np.uint64), none, none
     b = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     b *= powers(n)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b, dtype=np.uint64)))
@@ -59,37 +62,45 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     least = _sliding(h, _GAP + 1, np.minimum)  # by start of a string
     wide = np.concatenate((np.zeros(_GAP, np.uint64), least, np.zeros(_GAP, np.uint64)))
     at = np.flatnonzero(_sliding(wide, _GAP + 1, np.maximum) == h)
-    return at, h[at]
+    first, last = np.empty_like(at), np.empty_like(at)
+    for i in range(0, len(at), 4096):
+        p = at[i : i + 4096]
+        own = wide[p[:, None] + np.arange(_GAP + 1)] == h[p, None]  # strings that start at p - _GAP to p
+        first[i : i + 4096] = p - _GAP + own.argmax(axis=1)
+        last[i : i + 4096] = p - own[:, ::-1].argmax(axis=1)
+    return at, h[at], np.maximum(first, 0), np.minimum(last, n - LENGTH)
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at, hs = [], []
+        out: dict[str, list] = {"at": [], "h": [], "first": [], "last": []}
         for t in b.column("text"):
-            p, h = anchors((t.as_py() or "").encode("utf-8", "surrogatepass"))
-            at.append(p.astype(np.int32))
-            hs.append(h.view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(at, pa.list_(pa.int32())), pa.array(hs, pa.list_(pa.int64()))], ["key", "at", "h"])
+            p, h, first, last = anchors((t.as_py() or "").encode("utf-8", "surrogatepass"))
+            for k, v in (("at", p.astype(np.int32)), ("h", h.view(np.int64)), ("first", (p - first).astype(np.int16)), ("last", (p - last).astype(np.int16))):
+                out[k].append(v)
+        at = pa.array(out["at"], pa.list_(pa.int32()))
+        short = [pa.array(out[k], pa.list_(pa.int16())) for k in ("first", "last")]
+        yield pa.RecordBatch.from_arrays([b.column("key"), at, pa.array(out["h"], pa.list_(pa.int64())), *short], ["key", "at", "h", "before", "after"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, text, places): the bytes about each place, from up to 160 before the anchor to up to 200 after."""
+    """From (id, text, places): the bytes of all strings of ``LENGTH`` bytes whose least hash is that of the place."""
     for b in batches:
-        out: dict[str, list] = {"h": [], "key": [], "at": [], "left": [], "about": []}
-        for key, t, places in zip(b.column("key").to_pylist(), b.column("text"), b.column("places"), strict=True):
+        out: dict[str, list] = {"h": [], "id": [], "start": [], "left": [], "about": []}
+        for row, t, places in zip(b.column("id").to_pylist(), b.column("text"), b.column("places"), strict=True):
             data = t.as_py().encode("utf-8", "surrogatepass")
             for x in places.as_py():
-                p = x["at"]
-                out["h"].append(x["h"]), out["key"].append(key), out["at"].append(p), out["left"].append(min(p, _GAP))
-                out["about"].append(data[max(0, p - _GAP) : p + LENGTH])
-            if len(out["h"]) > 20_000:
+                start = x["at"] - x["before"]
+                out["h"].append(x["h"]), out["id"].append(row), out["start"].append(start), out["left"].append(x["before"])
+                out["about"].append(data[start : x["at"] - x["after"] + LENGTH])
+            if len(out["h"]) > 10_000:
                 yield pa.RecordBatch.from_pydict(out, _ABOUT)
                 out = {k: [] for k in out}
         yield pa.RecordBatch.from_pydict(out, _ABOUT)
 
 
-_ABOUT = pa.schema([("h", pa.int64()), ("key", pa.string()), ("at", pa.int32()), ("left", pa.int32()), ("about", pa.binary())])
-_RUNS = pa.schema([("key", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_ABOUT = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("left", pa.int16()), ("about", pa.binary())])
+_RUNS = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -98,7 +109,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated_starts(h: list[int], left: list[int], about: list[bytes]) -> list[np.ndarray]:
-    """For each place, which of the strings that start in its surroundings at or before the anchor are repeated.
+    """For each place, which of its strings are repeated; ``left`` is how far before the anchor the first one starts.
 
     Places with one ``h`` lie together. A string is repeated if a place of the same ``h`` has it at the same offset.
     """
@@ -111,7 +122,7 @@ def repeated_starts(h: list[int], left: list[int], about: list[bytes]) -> list[n
             counts.append(0)
         counts[j] += 1
     distinct = list(same)
-    starts = [np.full(max(0, min(lf + 1, len(a) - LENGTH + 1)), n > 1) for (_, lf, a), n in zip(distinct, counts, strict=True)]
+    starts = [np.full(max(0, len(a) - LENGTH + 1), n > 1) for (_, _, a), n in zip(distinct, counts, strict=True)]
     groups = np.unique([k[0] for k in distinct], return_inverse=True)[1] if distinct else np.empty(0, np.int64)
     mixed_group = np.bincount(groups) > 1 if len(groups) else np.empty(0, bool)
     rows = [i for i in range(len(distinct)) if mixed_group[groups[i]] and len(starts[i])]
@@ -141,11 +152,11 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def work(upto: int) -> pa.RecordBatch:
-        out: dict[str, list] = {"key": [], "start": [], "end": []}
+        out: dict[str, list] = {"id": [], "start": [], "end": []}
         flags = repeated_starts(held["h"][:upto], held["left"][:upto], held["about"][:upto])
-        for key, at, left, f in zip(held["key"], held["at"], held["left"], flags, strict=False):
+        for row, start, f in zip(held["id"], held["start"], flags, strict=False):
             for a, z in _runs(f):
-                out["key"].append(key), out["start"].append(at - left + a), out["end"].append(at - left + z - 1 + LENGTH)
+                out["id"].append(row), out["start"].append(start + a), out["end"].append(start + z - 1 + LENGTH)
         for k in held:
             del held[k][:upto]
         return pa.RecordBatch.from_pydict(out, _RUNS)
@@ -166,20 +177,76 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(len(held["h"]))
 
 
-_DIGESTS = pa.schema([("d", pa.binary()), ("key", pa.string()), ("start", pa.int32())])
+_CELLS = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("most", pa.int16()), ("least", pa.int16()), ("c1", pa.int64()), ("c2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+_DIGESTS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("id", pa.int64()), ("start", pa.int32())])
+
+
+def _pairs(digests: list[bytes]) -> list[pa.Array]:
+    d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return [pa.array(d[:, 0]), pa.array(d[:, 1])]
+
 
+def _digest(data: bytes, *marks: int) -> bytes:
+    return hashlib.blake2b(data + bytes(marks), digest_size=16).digest()
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From surroundings: a digest of each string of ``LENGTH`` bytes that holds the anchor."""
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, text, places): strings ``CELL`` starts at a time, aligned to the anchor.
+
+    Of each cell a digest of what all its strings have in common, and one of all their bytes. ``most`` and ``least``
+    are how far before the anchor its first and last string start.
+    """
     for b in batches:
-        out: dict[str, list] = {"d": [], "key": [], "start": []}
-        for key, at, left, about in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("left").to_pylist(), b.column("about").to_pylist(), strict=True):
-            for s in range(min(left, len(about) - LENGTH) + 1):
-                out["d"].append(hashlib.blake2b(about[s : s + LENGTH], digest_size=16).digest()), out["key"].append(key), out["start"].append(at - left + s)
-            if len(out["d"]) > 20_000:
-                yield pa.RecordBatch.from_pydict(out, _DIGESTS)
-                out = {k: [] for k in out}
-        yield pa.RecordBatch.from_pydict(out, _DIGESTS)
+        out: dict[str, list] = {"id": [], "at": [], "most": [], "least": []}
+        cores, spans = [], []
+        for row, t, places in zip(b.column("id").to_pylist(), b.column("text"), b.column("places"), strict=True):
+            data = t.as_py().encode("utf-8", "surrogatepass")
+            for x in places.as_py():
+                p = x["at"]
+                for q in range(x["after"] // CELL, x["before"] // CELL + 1):
+                    most, least = min(x["before"], q * CELL + CELL - 1), max(x["after"], q * CELL)
+                    out["id"].append(row), out["at"].append(p), out["most"].append(most), out["least"].append(least)
+                    cores.append(_digest(data[p - q * CELL : p - q * CELL - CELL + 1 + LENGTH], q))
+                    spans.append(_digest(data[p - most : p - least + LENGTH], most, least))
+            if len(cores) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(v, _CELLS.field(k).type) for k, v in out.items()] + _pairs(cores) + _pairs(spans), schema=_CELLS)
+                out, cores, spans = {k: [] for k in out}, [], []
+        yield pa.RecordBatch.from_arrays([pa.array(v, _CELLS.field(k).type) for k, v in out.items()] + _pairs(cores) + _pairs(spans), schema=_CELLS)
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, text, cells): a digest of each string of the cells and of its anchor's place in it."""
+    for b in batches:
+        ds, ids, starts = [], [], []
+        for row, t, cells in zip(b.column("id").to_pylist(), b.column("text"), b.column("cells"), strict=True):
+            data = t.as_py().encode("utf-8", "surrogatepass")
+            for x in cells.as_py():
+                for o in range(x["least"], x["most"] + 1):
+                    s = x["at"] - o
+                    ds.append(_digest(data[s : s + LENGTH], o)), ids.append(row), starts.append(s)
+            if len(ds) > 20_000:
+                yield pa.RecordBatch.from_arrays([*_pairs(ds), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], schema=_DIGESTS)
+                ds, ids, starts = [], [], []
+        yield pa.RecordBatch.from_arrays([*_pairs(ds), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], schema=_DIGESTS)
+
+
+def common(hold: DataFrame) -> DataFrame:
+    """``id, start, end`` of repeated strings at the anchors of very common passages.
+
+    ``hold``: id, text, places. A cell whose bytes all occur twice is repeated whole. One whose common part occurs once
+    holds nothing repeated. The strings of the others, at the edges of passages, are counted one by one; a repeated
+    cell with the same common part sends one of its kind, as its strings may be theirs.
+    """
+    cells = cut(hold.mapInArrow(_cells, "id long, at int, most short, least short, c1 long, c2 long, s1 long, s2 long"))
+    kinds = cells.groupBy("c1", "c2", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at", "most", "least")).alias("one"))
+    parts = kinds.groupBy("c1", "c2").agg(F.sum("n").alias("of_part"), F.count("*").alias("kinds"))
+    known = cut(kinds.join(parts, ["c1", "c2"]))
+    whole = cells.join(known.filter("n > 1").select("s1", "s2"), ["s1", "s2"]).select("id", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + LENGTH).alias("end"))
+    open_ = known.filter("kinds > 1").select("one.*").groupBy("id").agg(F.collect_list(F.struct("at", "most", "least")).alias("cells"))
+    strings = cut(hold.select("id", "text").join(open_, "id").mapInArrow(_strings, "d1 long, d2 long, id long, start int"))
+    twice = strings.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2")
+    single = strings.join(twice, ["d1", "d2"]).select("id", "start", (F.col("start") + LENGTH).alias("end"))
+    return whole.unionByName(single)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -197,24 +264,22 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     copies = cut(keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")).filter("copies > 1"))
     one = keyed.join(small(copies, 96), "key", "left").filter("copies is null or doc_id <=> rep").select("key", "text")
-    found = cut(one.mapInArrow(_anchored, "key string, at array<int>, h array<long>"))
-    each = found.select("key", F.explode(F.arrays_zip("at", "h")).alias("x")).select("key", "x.at", "x.h")
+    found = one.mapInArrow(_anchored, "key string, at array<int>, h array<long>, before array<short>, after array<short>")
+    found = cut(found.withColumn("id", F.monotonically_increasing_id()))
+    each = found.select("id", F.explode(F.arrays_zip("at", "h", "before", "after")).alias("x")).select("id", "x.*")
     often = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    places = cut(each.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "n")).alias("places")))
-    wanted = one.join(small(places.select("key"), 64), "key", "left_semi")
-    hold = wanted.join(places, "key")
+    places = each.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", "before", "after", "n")).alias("places"))
+    places = cut(places.join(found.select("id", "key"), "id"))
+    hold = one.join(small(places.select("key"), 64), "key", "left_semi").join(places, "key")
 
-    def about(condition: str) -> DataFrame:
-        some = hold.withColumn("places", F.expr(f"filter(places, x -> x.n {condition} {HOT})")).filter("size(places) > 0")
-        return some.mapInArrow(_surroundings, "h long, key string, at int, left int, about binary")
+    def some(condition: str) -> DataFrame:
+        return hold.withColumn("places", F.expr(f"filter(places, x -> x.n {condition} {HOT})")).filter("size(places) > 0").select("id", "text", "places")
 
-    cool = about("<=").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, "key string, start int, end int")
-    runs = cool
+    about = some("<=").mapInArrow(_surroundings, "h long, id long, start int, left short, about binary")
+    runs = about.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, "id long, start int, end int")
     if not places.filter(f"exists(places, x -> x.n > {HOT})").isEmpty():
-        digests = cut(about(">").mapInArrow(_digests, "d binary, key string, start int").distinct())
-        twice = digests.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d")
-        runs = cool.unionByName(digests.join(twice, "d").select("key", "start", (F.col("start") + LENGTH).alias("end")))
-    runs = runs.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+        runs = runs.unionByName(common(some(">")))
+    runs = runs.join(places.select("id", "key"), "id").groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     return cut(runs), copies
 
 
