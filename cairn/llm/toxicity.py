@@ -42,12 +42,12 @@ def terms(word: str) -> list[str]:
 
 
 class Model:
-    def __init__(self, idf: dict[str, float], rows: list[tuple[int, str, int]]):
-        """``rows``: (id, text, label) of the examples; ``idf`` of the terms chosen."""
+    def __init__(self, idf: dict[str, float], rows: list[tuple[int, str, int, int]]):
+        """``rows``: (id, text, label, words of the whole text) of the examples; ``idf`` of the terms chosen."""
         self.idf = np.array(list(idf.values()))
         self.term = {t: i for i, t in enumerate(idf)}
         self.known: dict[str, list[int] | None] = {}
-        got = [(self.vector(text), y, i) for i, text, y in rows]
+        got = [(self.vector(text, n), y, i) for i, text, y, n in rows]
         without = [y for v, y, _ in got if not v]
         self.rest = (sum(without) + 0.5) / (len(without) + 1)
         got = [x for x in got if x[0]]
@@ -60,11 +60,11 @@ class Model:
         self.steps = _isotonic(votes)
         self.scored: dict[tuple, tuple] = {}
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        """The unit TF-IDF vector over the chosen terms; empty if the text has none."""
+    def vector(self, text: str | None, words: int | None = None) -> dict[int, float]:
+        """The unit TF-IDF vector over the chosen terms; empty if the text has none. ``words``: of the whole text, if this is a part."""
         tf: Counter = Counter()
         found = Counter(_WORD.findall((text or "").lower()))
-        words = round(max(found.total(), 1), -1) or 5
+        words = round(max(found.total() if words is None else words, 1), -1) or 5
         for word, n in found.items():
             at = self.known.get(word, 0)
             if at == 0:
@@ -123,25 +123,26 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 
     n, ones = float(totals[0]), float(totals[1])
     if not n or ones in (0, n):
-        return Model({}, [(r.doc_id, "", r.y) for r in rows.select("doc_id", "y").collect()])
+        return Model({}, [(r.doc_id, "", r.y, 0) for r in rows.select("doc_id", "y").collect()])
     counted = rows.mapInArrow(each, "term string, y int").groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("a"))
     a, df = F.col("a").cast("double"), F.col("df").cast("double")
     chi = n * F.pow(a * (n - ones) - (df - a) * ones, 2) / (df * (n - df + 1e-9) * ones * (n - ones))
     best = counted.filter((df >= LEAST) & (df < n)).withColumn("chi", chi).filter(F.col("chi") >= CHI).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
     idf = {r.term: float(np.log((n + 1) / (r.df + 1)) + 1) for r in best}
     examples = _with_terms(rows, set(idf)).collect()
-    return Model(idf, sorted((r.doc_id, r.text, r.y) for r in examples))
+    return Model(idf, sorted((r.doc_id, r.text, r.y, r.words) for r in examples))
 
 
 def _with_terms(rows: DataFrame, chosen: set[str]) -> DataFrame:
-    """The examples, their text cut down to the words that have a chosen term; enough for their vectors."""
+    """The examples, their text cut down to the words that have a chosen term, and ``words`` of the whole; enough for their vectors."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [" ".join(w for w in _WORD.findall((t.as_py() or "").lower()) if chosen.intersection(terms(w))) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("y")], ["doc_id", "text", "y"])
+            found = [_WORD.findall((t.as_py() or "").lower()) for t in b.column("text")]
+            texts = [" ".join(w for w in ws if chosen.intersection(terms(w))) for ws in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("y"), pa.array(map(len, found), pa.int32())], ["doc_id", "text", "y", "words"])
 
-    return rows.select("doc_id", "text", "y").mapInArrow(each, "doc_id long, text string, y int")
+    return rows.select("doc_id", "text", "y").mapInArrow(each, "doc_id long, text string, y int, words int")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

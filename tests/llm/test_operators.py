@@ -421,3 +421,15 @@ def test_toxicity_scores(spark):
     assert model.score(prose(r, 50) + " Vile")[0] > 0.9 > 0.1 > model.score(prose(r, 50))[0]
     score, evidence = model.score("so vile")
     assert evidence and all(i % 4 == 0 for i, _ in evidence)
+
+
+def test_toxic_examples_are_nearest_to_themselves(spark):
+    r = random.Random(10)
+    texts = [(i, prose(r, (30, 600)[i // 4 % 2]) + (" vile" if i % 4 == 0 else "")) for i in range(400)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    at = {i: e for e, ids in enumerate(model.index.ids) for i in ids}
+    assert at
+    for i, t in texts:
+        if i in at:
+            assert dict(model.index.search(model.vector(t), 15)).get(at[i]) == pytest.approx(1.0, abs=1e-6)
