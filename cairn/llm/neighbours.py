@@ -8,13 +8,38 @@ stops once no bound reaches its k-th best cosine, so the result is that of looki
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 
 BLOCK = 512
+#: Words in one of so many entries or more are multiplied as a matrix, for so many queries at once.
+COMMON, QUERIES = 8, 128
 
 
-class Index:
+class Entries:
+    """``n`` examples, ``ones`` of them with label 1, in each entry."""
+
+    n: np.ndarray
+    ones: np.ndarray
+
+    def weigh(self, near: list[tuple[int, float]], k: int, without: int | None = None, label: int = 0, power: int = 1) -> tuple[float, list[tuple[int, float]]] | None:
+        """The share of label 1 among the ``k`` nearest, weighted by a power of the distance, and those; None if nothing has a term in common."""
+        total = ones = 0.0
+        left = float(k)
+        for e, cosine in near:
+            n, y = self.n[e] - (e == without), self.ones[e] - (label if e == without else 0)
+            if n <= 0:
+                continue
+            take = min(left, n)
+            weight = 1 / (1.05 - min(cosine, 1.0)) ** power
+            total += weight * take
+            ones += weight * take * y / n
+            left -= take
+        return (ones / total, near) if total else None
+
+
+class Index(Entries):
     def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int]):
         """``vectors``: term to weight of unit length; terms are small integers."""
         same: dict[tuple, list[int]] = defaultdict(list)
@@ -72,17 +97,111 @@ class Index:
         return [(e, -s) for s, e in found]
 
     def vote(self, query: dict[int, float], k: int, without: int | None = None, label: int = 0) -> tuple[float, list[tuple[int, float]]] | None:
-        """The distance-weighted share of label 1 among the ``k`` nearest, and those; None if nothing has a term in common."""
-        near = self.search(query, k, without)
-        total = ones = 0.0
-        left = float(k)
-        for e, cosine in near:
-            n, y = self.n[e] - (e == without), self.ones[e] - (label if e == without else 0)
-            if n <= 0:
-                continue
-            take = min(left, n)
-            weight = 1 / (1.05 - min(cosine, 1.0))
-            total += weight * take
-            ones += weight * take * y / n
-            left -= take
-        return (ones / total, near) if total else None
+        return self.weigh(self.search(query, k, without), k, without, label)
+
+
+class Whole(Entries):
+    """Exact nearest neighbours by TF-IDF cosine over all words of the examples, for many queries at once.
+
+    Common words are multiplied as a matrix, the others by their postings. What comes within rounding of the k-th best is
+    computed again, in an order that does not depend on the other queries.
+    """
+
+    def __init__(self, counts: Iterable[dict[str, int]], labels: list[int], ids: list[int]):
+        """``counts`` of the words of each example, looked at one by one; those without words are no neighbours."""
+        found: dict[str, int] = {}
+        same: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+        for row, c in enumerate(counts):
+            if c:
+                at, n = np.array([found.setdefault(w, len(found)) for w in c], np.int32), np.array(list(c.values()), np.int32)
+                order = np.argsort(at)
+                same[at[order].tobytes(), n[order].tobytes()].append(row)
+        self.entry = {r: e for e, rows in enumerate(same.values()) for r in rows}
+        self.n = np.array([len(rows) for rows in same.values()], np.float64)
+        self.ones = np.array([sum(labels[r] for r in rows) for rows in same.values()], np.float64)
+        self.ids = [[ids[r] for r in rows] for rows in same.values()]
+        self.start = np.cumsum([0, *(len(k) // 4 for k, _ in same)])
+        self.word = np.frombuffer(b"".join(k for k, _ in same), np.int32)
+        self.count = np.frombuffer(b"".join(n for _, n in same), np.int32)
+        self.words = " ".join(found)
+        del same, found
+        df = np.bincount(self.word, np.repeat(self.n.astype(np.float32), np.diff(self.start)), self.words.count(" ") + bool(self.words))
+        self.idf = np.log((len(labels) + 1) / (df + 1)) + 1
+        self.unseen = np.log(len(labels) + 1) + 1
+        self.norm = np.array([np.sqrt(np.sum(self._weights(slice(lo, hi)) ** 2)) for lo, hi in zip(self.start, self.start[1:], strict=False)])
+        self.lists = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lists": None}
+
+    def _weights(self, places: slice | np.ndarray) -> np.ndarray:
+        return (1 + np.log(self.count[places])) * self.idf[self.word[places]]
+
+    def _lists(self) -> tuple:
+        """What a search needs and the above tell; not sent to executors, and may be set to None between searches."""
+        if self.lists is None:
+            df = np.bincount(self.word, minlength=len(self.idf))
+            common = np.full(len(df), -1, np.int32)
+            chosen = np.flatnonzero(df * COMMON >= len(self.n))
+            common[chosen] = np.arange(len(chosen))
+            start = np.concatenate([[0], np.cumsum(np.where(common < 0, df, 0))])
+            matrix = np.zeros((len(chosen), len(self.n)), np.float32)
+            rows, weights, upto = np.empty(start[-1], np.int32), np.empty(start[-1], np.float32), start[:-1].copy()
+            for e, (lo, hi) in enumerate(zip(self.start, self.start[1:], strict=False)):
+                w, v = self.word[lo:hi], self._weights(slice(lo, hi)) / self.norm[e]
+                often = common[w] >= 0
+                matrix[common[w[often]], e] = v[often]
+                to = upto[w[~often]]
+                rows[to], weights[to] = e, v[~often]
+                upto[w[~often]] += 1
+            self.lists = {w: i for i, w in enumerate(self.words.split())}, common, matrix, rows, weights, start
+        return self.lists
+
+    def search(self, queries: list[dict[str, int]], k: int, without: list[int | None] | None = None) -> list[list[tuple[int, float]]]:
+        """For each query the entries (index, cosine) that hold its ``k`` nearest examples, as ``Index.search`` has them."""
+        out: list[list[tuple[int, float]]] = []
+        if not len(self.n):
+            return [[] for _ in queries]
+        known, common, matrix, rows, weights, start = self._lists()
+        dense = np.zeros(len(self.idf))
+        for first in range(0, len(queries), QUERIES):
+            vectors = [self._vector(q, known) for q in queries[first : first + QUERIES]]
+            left = np.zeros((len(vectors), len(matrix)), np.float32)
+            for i, (at, w) in enumerate(vectors):
+                left[i, common[at[common[at] >= 0]]] = w[common[at] >= 0]
+            for i, (score, (at, w)) in enumerate(zip(left @ matrix, vectors, strict=True)):
+                own = without[first + i] if without else None
+                rare = common[at] < 0
+                places, lengths = _runs(start, at[rare])
+                score = score + np.bincount(rows[places], weights[places] * np.repeat(w[rare], lengths), len(score))
+                m = min(k + 1, len(score))
+                near = np.flatnonzero((score > 0) & (score >= np.partition(score, -m)[-m] - 1e-4))
+                if not len(near):
+                    out.append([])
+                    continue
+                dense[at] = w
+                places, lengths = _runs(self.start, near)
+                cosine = np.round(np.add.reduceat(self._weights(places) * dense[self.word[places]], np.cumsum(lengths) - lengths) / self.norm[near], 9)
+                dense[at] = 0
+                got, held = [], 0.0
+                for j in np.lexsort((near, -cosine)):
+                    got.append((int(near[j]), float(cosine[j])))
+                    held += self.n[near[j]] - (near[j] == own)
+                    if held >= k:
+                        break
+                out.append(got)
+        return out
+
+    def _vector(self, counts: dict[str, int], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of the words that examples have; the length counts the others too."""
+        found = sorted((known[w], n) for w, n in counts.items() if w in known)
+        at = np.array([i for i, _ in found], np.int64)
+        w = (1 + np.log(np.array([n for _, n in found], np.float64))) * self.idf[at]
+        others = (1 + np.log(np.array(sorted(n for x, n in counts.items() if x not in known), np.float64))) * self.unseen
+        return at, w / (np.sqrt(w @ w + others @ others) or 1.0)
+
+
+def _runs(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the runs ``of``, one after the other, and their lengths."""
+    lengths = start[of + 1] - start[of]
+    return np.repeat(start[of] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum()), lengths

@@ -1,12 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Learned from at most ``BOUND`` labelled rows. Terms are words and their beginnings of 4 to 6 letters, lower-cased;
-those that tell the labels apart (chi-squared of ``CHI`` or more, at most ``TERMS`` of them, counted by Spark) span the
-vectors, with one component more that grows with a text's length, so that a term is worth less in a long text. An example or text without any such term has no neighbour; it gets the share of label 1 among the examples
-that have none either. Votes of the nearest ``K`` are weighted by distance and calibrated by the share of label 1 that
-examples with such a vote, their own left out, turned out to have.
-
-Defined cases: null text counts as empty, and like every text without a learned term gets that share; without labels
+those that tell the labels apart (counted by Spark; ``limits``) span the vectors, with one component more that grows
+with a text's length, so that a term is worth less in a long text. A text without any such term is compared by all its
+words with those of all examples. Votes of the nearest ``K`` are weighted by distance and calibrated, for texts with and
+without such a term apart, by the share of label 1 that examples with such a vote, their own left out, turned out to
+have; a vote above all that examples had counts itself.
+
+Defined cases: null text counts as empty, and like every text without a word that an example has gets the share of label 1
+among the examples without a chosen term; without labels
 every score is 0.5 smoothed; rows with equal text have equal scores; other columns are ignored.
 """
 
@@ -22,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.learning import labelled, remainder
-from cairn.llm.neighbours import Index
+from cairn.llm.neighbours import QUERIES, Index, Whole
 from cairn.llm.shared import cut, read
 
 BOUND = 12_000
-TERMS = 2_000
 CHI = 40.0
 K = 15
+#: Over all words, votes are weighted by this power of the distance, so that a near copy outweighs the K - 1 others.
+NEAR = 2
 LEVEL = 4.0
 LEAST = 8
 CUT = 0.5
@@ -41,13 +44,29 @@ def terms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n)]
 
 
+def counted(text: str | None) -> Counter:
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def limits(n: float, ones: float, vocabulary: int) -> tuple[float, int]:
+    """Least chi-squared and document frequency of a chosen term.
+
+    Chi-squared is at most the number of rows, so in small samples half of that is enough. Terms have to be in so many
+    rows that fewer than one in twenty of the vocabulary's size is in rows of the rarer label alone by chance.
+    """
+    share = min(ones, n - ones) / n
+    return min(CHI, n / 2), min(LEAST, max(2, int(np.ceil(np.log(0.05 / max(vocabulary, 1)) / np.log(share)))))
+
+
 class Model:
-    def __init__(self, idf: dict[str, float], rows: list[tuple[int, str, int, int]]):
-        """``rows``: (id, text, label, words of the whole text) of the examples; ``idf`` of the terms chosen."""
+    def __init__(self, idf: dict[str, float], rows: list[tuple[int, int, str, bytes]]):
+        """``rows``: (id, label, words, their counts) of the examples, packed to be small; ``idf`` of the terms chosen."""
         self.idf = np.array(list(idf.values()))
         self.term = {t: i for i, t in enumerate(idf)}
         self.known: dict[str, list[int] | None] = {}
-        got = [(self.vector(text, n), y, i) for i, text, y, n in rows]
+        got = [(self._vector(_unpacked(r)), r[1], r[0]) for r in rows]
+        self.whole = Whole(map(_unpacked, rows), [r[1] for r in rows], [r[0] for r in rows])
+        alone = [r for r, (v, _, _) in enumerate(got) if not v and r in self.whole.entry]
         without = [y for v, y, _ in got if not v]
         self.rest = (sum(without) + 0.5) / (len(without) + 1)
         got = [x for x in got if x[0]]
@@ -58,13 +77,25 @@ class Model:
             if (vote := self.index.vote(v, K, own, y)) is not None:
                 votes.append((vote[0], y))
         self.steps = _isotonic(votes)
+        by_words = []
+        for first in range(0, len(alone), QUERIES):
+            some = alone[first : first + QUERIES]
+            own = [self.whole.entry[r] for r in some]
+            for r, e, near in zip(some, own, self.whole.search([_unpacked(rows[r]) for r in some], K, own), strict=True):
+                if (vote := self.whole.weigh(near, K, e, rows[r][1], NEAR)) is not None:
+                    by_words.append((vote[0], rows[r][1]))
+        self.whole.lists = None
+        self.most = max((v for v, _ in by_words), default=0.0)
+        self.steps_by_words = _isotonic(by_words)
         self.scored: dict[tuple, tuple] = {}
 
-    def vector(self, text: str | None, words: int | None = None) -> dict[int, float]:
-        """The unit TF-IDF vector over the chosen terms; empty if the text has none. ``words``: of the whole text, if this is a part."""
+    def vector(self, text: str | None) -> dict[int, float]:
+        """The unit TF-IDF vector over the chosen terms; empty if the text has none."""
+        return self._vector(counted(text))
+
+    def _vector(self, found: dict[str, int]) -> dict[int, float]:
         tf: Counter = Counter()
-        found = Counter(_WORD.findall((text or "").lower()))
-        words = round(max(found.total() if words is None else words, 1), -1) or 5
+        words = round(max(sum(found.values()), 1), -1) or 5
         for word, n in found.items():
             at = self.known.get(word, 0)
             if at == 0:
@@ -84,9 +115,29 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """Calibrated score, and the evidence: (id of an example, cosine), nearest first."""
-        v = self.vector(text)
-        if not v:
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """``score`` of each; equal texts are scored once."""
+        out: dict[str | None, tuple[float, list[tuple[int, float]]]] = {}
+        alone: dict[str | None, Counter] = {}
+        for text in dict.fromkeys(texts):
+            found = counted(text)
+            if v := self._vector(found):
+                out[text] = self._by_terms(v)
+            else:
+                alone[text] = found
+        for text, near in zip(alone, self.whole.search(list(alone.values()), K), strict=True):
+            out[text] = self._by_words(near)
+        return [out[t] for t in texts]
+
+    def _by_words(self, near: list[tuple[int, float]]) -> tuple[float, list[tuple[int, float]]]:
+        if (vote := self.whole.weigh(near, K, power=NEAR)) is None:
             return self.rest, []
+        share = float(np.interp(vote[0], *self.steps_by_words)) if len(self.steps_by_words[0]) else vote[0]
+        return max(share, vote[0]) if vote[0] > self.most else share, [(i, c) for e, c in near for i in self.whole.ids[e]][:K]
+
+    def _by_terms(self, v: dict[int, float]) -> tuple[float, list[tuple[int, float]]]:
         key = tuple(sorted((t, round(w, 9)) for t, w in v.items()))
         if key not in self.scored:
             if len(self.scored) >= KNOWN // 10:
@@ -123,26 +174,30 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 
     n, ones = float(totals[0]), float(totals[1])
     if not n or ones in (0, n):
-        return Model({}, [(r.doc_id, "", r.y, 0) for r in rows.select("doc_id", "y").collect()])
-    counted = rows.mapInArrow(each, "term string, y int").groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("a"))
+        return Model({}, [(r.doc_id, r.y, "", b"") for r in rows.select("doc_id", "y").collect()])
+    found = cut(rows.mapInArrow(each, "term string, y int").groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("a")))
+    least_chi, least = limits(n, ones, found.count())
     a, df = F.col("a").cast("double"), F.col("df").cast("double")
     chi = n * F.pow(a * (n - ones) - (df - a) * ones, 2) / (df * (n - df + 1e-9) * ones * (n - ones))
-    best = counted.filter((df >= LEAST) & (df < n)).withColumn("chi", chi).filter(F.col("chi") >= CHI).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+    best = found.filter((df >= least) & (df < n)).withColumn("chi", chi).filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").collect()
     idf = {r.term: float(np.log((n + 1) / (r.df + 1)) + 1) for r in best}
-    examples = _with_terms(rows, set(idf)).collect()
-    return Model(idf, sorted((r.doc_id, r.text, r.y, r.words) for r in examples))
+    return Model(idf, sorted((r.doc_id, r.y, r.words, bytes(r.counts)) for r in _packed(rows).collect()))
 
 
-def _with_terms(rows: DataFrame, chosen: set[str]) -> DataFrame:
-    """The examples, their text cut down to the words that have a chosen term, and ``words`` of the whole; enough for their vectors."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """The examples as their words, in order, and the counts of these as 32-bit integers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_WORD.findall((t.as_py() or "").lower()) for t in b.column("text")]
-            texts = [" ".join(w for w in ws if chosen.intersection(terms(w))) for ws in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("y"), pa.array(map(len, found), pa.int32())], ["doc_id", "text", "y", "words"])
+            found = [sorted(counted(t.as_py()).items()) for t in b.column("text")]
+            words, counts = [" ".join(w for w, _ in f) for f in found], [np.array([n for _, n in f], np.int32).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(words, pa.string()), pa.array(counts, pa.binary())], ["doc_id", "y", "words", "counts"])
+
+    return rows.select("doc_id", "y", "text").mapInArrow(each, "doc_id long, y int, words string, counts binary")
+
 
-    return rows.select("doc_id", "text", "y").mapInArrow(each, "doc_id long, text string, y int, words int")
+def _unpacked(row: tuple[int, int, str, bytes]) -> dict[str, int]:
+    return dict(zip(row[2].split(), np.frombuffer(row[3], np.int32).tolist(), strict=True))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -153,7 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.score(t.as_py()) for t in b.column("text")]
+            got = model.scores(b.column("text").to_pylist())
             evidence = [[{"doc_id": i, "cosine": c} for i, c in e] for _, e in got]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)], [*b.schema.names, "score", "evidence"])
 
@@ -165,7 +220,7 @@ def kept(docs: DataFrame, model: Model, at: float = CUT) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([model.score(t.as_py())[0] < at for t in b.column("text")], pa.bool_()))
+            yield b.filter(pa.array([s < at for s, _ in model.scores(b.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
 

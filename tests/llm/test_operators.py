@@ -433,3 +433,36 @@ def test_toxic_examples_are_nearest_to_themselves(spark):
     for i, t in texts:
         if i in at:
             assert dict(model.index.search(model.vector(t), 15)).get(at[i]) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_whole_neighbours_are_exact():
+    r = random.Random(11)
+    counts = [dict(Counter(prose(r, r.randint(1, 40), 60 + i % 3 * 300).split())) for i in range(300)] + [{}]
+    whole = neighbours.Whole(counts + counts[:20], [0] * 321, list(range(321)))
+    queries = counts[:150] + [{"w1": 2, "unseen": 1}, {"unseen": 3}]
+    df = Counter(w for c in counts + counts[:20] for w in c)
+
+    def vector(c):
+        v = {w: (1 + np.log(n)) * (np.log(322 / (df[w] + 1)) + 1) for w, n in c.items()}
+        return {w: x / sum(y * y for y in v.values()) ** 0.5 for w, x in v.items()}
+
+    vectors = [vector(c) for c in counts + counts[:20]]
+    for q, near in zip(queries, whole.search(queries, 10), strict=True):
+        u = vector(q)
+        want = sorted((sum(x * v.get(w, 0) for w, x in u.items()) for v in vectors), reverse=True)[:10]
+        assert np.allclose([c for e, c in near for _ in range(int(whole.n[e]))][:10], [c for c in want if c > 0], atol=1e-8)
+    assert whole.search(queries[7:8], 10) == whole.search(queries, 10)[7:8]
+
+
+@pytest.mark.parametrize("n, toxic", [(600, 6), (30, 6)])
+def test_toxicity_of_texts_without_chosen_terms(spark, n, toxic):
+    r = random.Random(12)
+    texts = [(i, prose(r, 40) if i >= toxic else " ".join(f"bad{i}x{chr(97 + j)}" for j in range(20)) + " " + prose(r, 20)) for i in range(n)]
+    texts = [(i, re.sub(r"[0-9]", lambda m: chr(97 + int(m[0])), t)) for i, t in texts]
+    model = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i < toxic)) for i in range(n)], "doc_id long, toxic int"))
+    learned = {i for ids in model.whole.ids for i in ids}
+    for i, t in texts[:toxic]:
+        if i in learned:
+            score, evidence = model.score(t + " also")
+            assert score >= 0.5 and evidence[0][0] == i
+    assert model.score(texts[-1][1])[0] < 0.5
