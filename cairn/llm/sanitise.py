@@ -15,7 +15,9 @@ gives an empty result; other columns are kept by ``sanitised`` and ignored by th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,8 @@ from cairn.llm.shared import cut, read, small, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 8
+#: Shorter words are no terms, so a name of two letters or characters never is.
+LETTERS_LEAST = 3
 SUPPORT = 3
 DISCLOSES = 0.9
 REMOVES = 0.98
@@ -79,19 +83,19 @@ def entity(kind: str, value: str) -> str:
 
 
 def beside(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[str, str]]:
-    """(entity, term) for the words within ``window`` words of a span, spans themselves left out."""
+    """(entity, term) for the words within ``window`` words of a span, however far, but spans themselves and short words."""
     taken = sorted((s, e) for _, s, e in spans)
+    upto = list(accumulate((e for _, e in taken), max))  # a word is in a span if the furthest end of those that begin before it is
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
     out = set()
     for kind, s, e in spans:
         name = entity(kind, text[s:e])
-        near = [m for m in _WORD.finditer(text, max(0, s - 40 * window), s)][-window:]
-        for i, m in enumerate(_WORD.finditer(text, e, e + 40 * window)):
-            if i >= window:
-                break
-            near.append(m)
-        for m in near:
-            if m.end() - m.start() >= 3 and not any(a < m.end() and m.start() < z for a, z in taken):
-                out.add((name, m[0].lower()))
+        last, first = bisect_right(ends, s), bisect_left(starts, e)
+        for a, z in words[max(0, last - window) : last] + words[first : first + window]:
+            k = bisect_left(taken, (z,))
+            if z - a >= LETTERS_LEAST and (not k or upto[k - 1] <= a):
+                out.add((name, text[a:z].lower()))
     return sorted(out)
 
 

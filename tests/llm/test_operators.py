@@ -466,3 +466,11 @@ def test_toxicity_of_texts_without_chosen_terms(spark, n, toxic):
             score, evidence = model.score(t + " also")
             assert score >= 0.5 and evidence[0][0] == i
     assert model.score(texts[-1][1])[0] < 0.5
+
+
+def test_words_beside_spans_at_any_distance():
+    for gap in (" ", " " * 500, " " + "0" * 7 + "." * 400 + " "):
+        t = f"one two Nguyen{gap}joe.doe@example.org{gap}Liu three"
+        assert {w for _, w in sanitise.beside(t, [x for x in sanitise.base_spans(t) if x[0] == "email"])} == {"one", "two", "nguyen", "liu", "three"}
+    t = "a@b.cd " + " ".join(f"{'x' * 100}{c}" for c in "abcdefghij")
+    assert sanitise.beside(t, sanitise.base_spans(t)) == [("email:a@b.cd", "x" * 100 + c) for c in "abcdefgh"]
