@@ -8,8 +8,8 @@ without such a term apart, by the share of label 1 that examples with such a vot
 have; a vote above all that examples had counts itself.
 
 Defined cases: null text counts as empty, and like every text without a word that an example has gets the share of label 1
-among the examples without a chosen term; without labels
-every score is 0.5 smoothed; rows with equal text have equal scores; other columns are ignored.
+among the examples without a chosen term, smoothed towards that among all; without labels of both kinds nothing is
+learned and every score is 0; rows with equal text have equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ class Model:
         self.whole = Whole(map(_unpacked, rows), [r[1] for r in rows], [r[0] for r in rows])
         alone = [r for r, (v, _, _) in enumerate(got) if not v and r in self.whole.entry]
         without = [y for v, y, _ in got if not v]
-        self.rest = (sum(without) + 0.5) / (len(without) + 1)
+        ones = sum(r[1] for r in rows)
+        self.rest = (sum(without) + ones / len(rows)) / (len(without) + 1) if 0 < ones < len(rows) else 0.0
         got = [x for x in got if x[0]]
         self.index = Index([v for v, _, _ in got], [y for _, y, _ in got], [i for _, _, i in got])
         votes = []

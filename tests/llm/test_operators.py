@@ -474,3 +474,16 @@ def test_words_beside_spans_at_any_distance():
         assert {w for _, w in sanitise.beside(t, [x for x in sanitise.base_spans(t) if x[0] == "email"])} == {"one", "two", "nguyen", "liu", "three"}
     t = "a@b.cd " + " ".join(f"{'x' * 100}{c}" for c in "abcdefghij")
     assert sanitise.beside(t, sanitise.base_spans(t)) == [("email:a@b.cd", "x" * 100 + c) for c in "abcdefgh"]
+
+
+@pytest.mark.parametrize("toxic", [[], [1]])
+def test_toxicity_keeps_all_where_nothing_is_learned(spark, docs, toxic):
+    labels = spark.createDataFrame([(i + 1, y) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    assert toxicity.kept(docs, toxicity.train(docs, labels)).count() == docs.count()
+
+
+def test_empty_text_gets_the_share_of_all_where_each_example_has_a_term(spark):
+    texts = [(i, "vile" if i % 4 == 0 else "fine") for i in range(400)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    assert model.score(None)[0] < 0.35 and model.score("")[0] < 0.35
