@@ -66,7 +66,7 @@ def postings(docs: DataFrame, reach: int = 0) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n``: how often the corpus has each of ``terms``."""
-    found = postings(docs).select("term").join(small(terms, 64), "term").groupBy("term").agg(F.count("*").alias("n"))
+    found = postings(docs).select("term").join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -82,7 +82,7 @@ def phrase_hits(docs: DataFrame, ps: DataFrame, window: int = WINDOW) -> DataFra
     n, start, first = F.size("phrase"), F.col("pos") - F.col("offset"), F.col("at") - F.col("offset")
     inside = (first >= 0) & (first + n <= F.size("around"))
     same = F.transform(F.slice("around", F.greatest(first, F.lit(0)) + 1, n), lower_ascii) == F.col("phrase")
-    found = postings(docs, window).join(small(ps, 1024), "term").filter(inside).filter(same)
+    found = postings(docs, window).join(small(ps), "term").filter(inside).filter(same)
     return found.select("key", start.alias("start"), (start + n).alias("end"), "item_ids").distinct()
 
 
@@ -93,7 +93,7 @@ def proximity_hits(docs: DataFrame, ps: DataFrame, within: int) -> DataFrame:
     """
     first = F.greatest(F.lit(0), F.col("at") - within)
     near = F.transform(F.slice("around", first + 1, F.col("at") - first + within + 1), lower_ascii)
-    found = postings(docs, within).join(small(ps, 1024), "term").filter(F.size(F.array_except("phrase", near)) == 0)
+    found = postings(docs, within).join(small(ps), "term").filter(F.size(F.array_except("phrase", near)) == 0)
     start = F.col("pos") - F.col("at") + first
     return found.select("key", start.alias("start"), (F.col("pos") + F.least(F.lit(within + 1), F.size("around") - F.col("at"))).alias("end"), "item_ids").distinct()
 
@@ -126,7 +126,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """``docs`` with ``n_words, n_hit, items, contaminated``, in place of columns of those names."""
     docs = docs.drop("n_words", "n_hit", "items", "contaminated", "_cairn_key")
     found = hit_texts(docs, items, window)
-    marked = docs.withColumn("n_words", F.size(tokens(F.col("text"))).cast("long")).join(small(found, 1024), text_key(F.col("text")) == F.col("_cairn_key"), "left").drop("_cairn_key")
+    marked = docs.withColumn("n_words", F.size(tokens(F.col("text"))).cast("long")).join(small(found), text_key(F.col("text")) == F.col("_cairn_key"), "left").drop("_cairn_key")
     return marked.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": F.coalesce(F.col("n_hit") > 0, F.lit(False))})
 
 

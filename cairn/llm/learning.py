@@ -22,7 +22,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held
     rest = remainder(F.col("doc_id"), modulus)
     chosen = labels.filter((rest != held_out) & (rest >= 0) & F.col(column).isNotNull()).select(F.col("doc_id"), F.col(column).cast("int").alias("y"))
     chosen = cut(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(bound))
-    return docs.select("doc_id", "text").filter("text is not null").join(small(chosen, 32), "doc_id")
+    return docs.select("doc_id", "text").filter("text is not null").join(small(chosen), "doc_id")
 
 
 def by_language(docs: DataFrame, modulus: int, held_out: int, bound: int) -> DataFrame:
@@ -34,4 +34,4 @@ def by_language(docs: DataFrame, modulus: int, held_out: int, bound: int) -> Dat
     rows = docs.filter((rest != held_out) & (rest >= 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= bound)
     chosen = cut(ranked.select("doc_id", "lang").distinct())
-    return docs.select("doc_id", "text", "lang").join(small(chosen, 64), ["doc_id", "lang"])
+    return docs.select("doc_id", "text", "lang").join(small(chosen), ["doc_id", "lang"])

@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 def _bounded(sources: DataFrame) -> DataFrame:
     from cairn.llm.shared import small
 
-    return small(sources, 256)
+    return small(sources)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

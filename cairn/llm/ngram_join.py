@@ -181,7 +181,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: f
     near = cut(components(banded.join(heads, "h").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))))
     sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     members = cut(near.join(sizes, "component").join(reps.select("id", "key", "copies"), "id"))
-    texts = keyed.select("key", "text").join(small(members, 128), "key")
+    texts = keyed.select("key", "text").join(small(members), "key")
     ready = texts.select("id", "copies", "component", "blocks", "text").mapInArrow(lambda b: _prepared(b, n), "id long, copies long, component long, blocks long, sig binary, shingles binary")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     ready = ready.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

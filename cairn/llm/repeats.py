@@ -1,21 +1,23 @@
 """Removal of repeated byte strings by sorted suffixes.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else too. Only suffixes that can have an
-equal are sorted. Anchors find those: positions whose hash of the next ``GRAM`` bytes is the least among the places
-that one string of ``LENGTH`` bytes has for it. Equal strings have their anchor at the same offset and with the same
-hash, so a string without an anchor seen twice is not repeated; this loses nothing.
-
-Anchors are some 1 in 80 bytes. Those with a hash seen twice or more bring the bytes about them, and meet by hash:
-equal surroundings are one, with a count; the suffixes that start at each offset from an anchor are put in order by
-deep-shallow sorting, and those with an equal neighbour are repeated. A string is looked at with the anchor that is
-its least, so once. Anchors of very common passages, over ``HOT`` places, are not gathered in one task: their strings
-are decided by counts of 128-bit digests, first for ``CELL`` strings at a time, with partial aggregates before the
-shuffle; see ``common``.
+equal are sorted. Anchors find those: a string's anchor is the first of its positions whose hash of the next ``GRAM``
+bytes is the least. Equal strings have their anchor at the same offset and with the same hash, so a string without an
+anchor seen twice is not repeated; this loses nothing.
+
+Strings come in pieces: those of one anchor, in at most ``WIDTHS[0]`` starts in a row. Equal pieces are one before they
+are shuffled, within a text and by a partial aggregate; a piece that occurs twice is repeated whole, and what is common
+is sorted once, however often it occurs. Pieces meet by the bytes that all their strings share. Where different pieces
+meet, one of each kind brings its bytes, and the suffixes at each offset are put in order by deep-shallow sorting; equal
+neighbours are repeated. More than ``GROUP`` kinds that share those bytes, as at the edges of a very common passage, are
+dealt anew as narrower pieces, which share more bytes, down to single strings; so no task gathers a common passage, and
+every piece is aggregated, dealt and sorted in the same way.
 
 Exact copies of a text are set aside first: each is repeated whole if it has ``LENGTH`` bytes, and one stands for all.
 
 Defined cases: null text is empty, with nothing removed; texts under ``LENGTH`` bytes keep all; repeated rows are copies;
-other columns are ignored; an empty table gives an empty result.
+periodic texts have one piece for each place in the period; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,14 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.hashing import _B, _B_INVERSE, mixed, powers
-from cairn.llm.shared import cut, read, small, text_key
+from cairn.llm.shared import cut, read, scratch, small, text_key
 from cairn.llm.suffixes import Sorter
 
 LENGTH = 200
 GRAM = 40
-HOT = 4_000
-CELL = 16
 _GAP = LENGTH - GRAM
+#: Starts of strings in a piece, where pieces that share bytes are dealt out and, where too many do, dealt anew.
+WIDTHS = (_GAP + 1, 32, 4, 1)
+GROUP = 2_048
 _CHUNK = 1 << 20
 
 
@@ -50,7 +53,7 @@ def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of anchors, their hashes, and the first and last start of the strings whose least hash theirs is."""
+    """Positions of anchors, their hashes, and the first and last start of the strings whose anchor each is."""
     n = len(data)
     if n < LENGTH:
         none = np.empty(0, np.int64)
@@ -68,31 +71,100 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         own = wide[p[:, None] + np.arange(_GAP + 1)] == h[p, None]  # strings that start at p - _GAP to p
         first[i : i + 4096] = p - _GAP + own.argmax(axis=1)
         last[i : i + 4096] = p - own[:, ::-1].argmax(axis=1)
-    return at, h[at], np.maximum(first, 0), np.minimum(last, n - LENGTH)
+    # Of several places with the least hash, the first is the anchor.
+    order = np.lexsort((at, h[at]))
+    twin = order[1:][h[at[order[1:]]] == h[at[order[:-1]]]]
+    before = order[:-1][h[at[order[1:]]] == h[at[order[:-1]]]]
+    first[twin] = np.maximum(first[twin], at[before] + 1)
+    first, last = np.maximum(first, 0), np.minimum(last, n - LENGTH)
+    some = first <= last
+    return at[some], h[at[some]], first[some], last[some]
+
+
+def _bytes(text: pa.Scalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct hashes of a text's anchors, and how often it has each."""
     for b in batches:
-        out: dict[str, list] = {"at": [], "h": [], "first": [], "last": []}
+        hs, ns = [], []
         for t in b.column("text"):
-            p, h, first, last = anchors((t.as_py() or "").encode("utf-8", "surrogatepass"))
-            for k, v in (("at", p.astype(np.int32)), ("h", h.view(np.int64)), ("first", (p - first).astype(np.int16)), ("last", (p - last).astype(np.int16))):
-                out[k].append(v)
-        at = pa.array(out["at"], pa.list_(pa.int32()))
-        short = [pa.array(out[k], pa.list_(pa.int16())) for k in ("first", "last")]
-        yield pa.RecordBatch.from_arrays([b.column("key"), at, pa.array(out["h"], pa.list_(pa.int64())), *short], ["key", "at", "h", "before", "after"])
+            h, n = np.unique(anchors(_bytes(t))[1].view(np.int64), return_counts=True)
+            hs.append(h), ns.append(n.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(hs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int32()))], ["key", "h", "n"])
+
+
+_PLACE = pa.struct([("at", pa.int32()), ("most", pa.int16()), ("least", pa.int16())])
+_PIECE = pa.struct([*_PLACE, ("n", pa.int32()), *((k, pa.int64()) for k in ("c1", "c2", "s1", "s2"))])
+_RUN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+_PIECES = "id long, pieces array<struct<at:int,most:short,least:short,n:int,c1:long,c2:long,s1:long,s2:long>>, runs array<struct<start:int,end:int>>"
+
+
+def _digest(data: bytes, *marks: int) -> tuple[int, int]:
+    d = hashlib.blake2b(data + bytes(marks), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def pieces(data: bytes, places: Iterator[tuple[int, int, int]], width: int) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """The distinct pieces of a text, and runs of what it holds twice.
+
+    ``places``: an anchor, and how far before it its first and last string start. A piece: such a place of at most
+    ``width`` starts, how often the text has it, a digest of the bytes that all strings of pieces of this name share
+    (c1, c2), and one of all its bytes (s1, s2).
+    """
+    seen: dict[tuple[int, int], list] = {}
+    runs: list[tuple[int, int]] = []
+    for at, most, least in places:
+        for q in range(least // width, most // width + 1):
+            m, n = min(most, q * width + width - 1), max(least, q * width)
+            start, end = at - m, at - n + LENGTH
+            s = _digest(data[start:end], m, n)
+            if (had := seen.get(s)) is None:
+                core = at - q * width
+                seen[s] = [at, m, n, 1, *_digest(data[core : core - width + 1 + LENGTH], q), *s]
+                continue
+            if had[3] == 1:
+                runs.append((had[0] - had[1], had[0] - had[2] + LENGTH))
+            had[3] += 1
+            if start <= runs[-1][1] and start >= runs[-1][0]:
+                runs[-1] = (runs[-1][0], max(runs[-1][1], end))
+            else:
+                runs.append((start, end))
+    return [tuple(x) for x in seen.values()], merged(runs)
+
+
+def _cut_up(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """From (id, text) and either hashes of anchors (h) or places: the text's pieces."""
+    names = [f.name for f in _PIECE]
+    for b in batches:
+        for i in range(0, b.num_rows, 64):
+            some = b.slice(i, 64)
+            found, runs = [], []
+            for k, t in enumerate(some.column("text")):
+                data = _bytes(t)
+                if "h" in b.schema.names:
+                    at, h, first, last = anchors(data)
+                    mine = np.isin(h.view(np.int64), some.column("h")[k].values.to_numpy())
+                    places = zip(at[mine].tolist(), (at - first)[mine].tolist(), (at - last)[mine].tolist(), strict=True)
+                else:
+                    places = ((x["at"], x["most"], x["least"]) for x in some.column("places")[k].as_py())
+                ps, rs = pieces(data, places, width)
+                found.append([dict(zip(names, p, strict=True)) for p in ps])
+                runs.append([{"start": s, "end": e} for s, e in rs])
+            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(found, pa.list_(_PIECE)), pa.array(runs, pa.list_(_RUN))], ["id", "pieces", "runs"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, text, places): the bytes of all strings of ``LENGTH`` bytes whose least hash is that of the place."""
+    """From (id, text, places): the bytes of all strings of each place."""
     for b in batches:
-        out: dict[str, list] = {"h": [], "id": [], "start": [], "left": [], "about": []}
+        out: dict[str, list] = {k: [] for k in _ABOUT.names}
         for row, t, places in zip(b.column("id").to_pylist(), b.column("text"), b.column("places"), strict=True):
-            data = t.as_py().encode("utf-8", "surrogatepass")
+            data = _bytes(t)
             for x in places.as_py():
-                start = x["at"] - x["before"]
-                out["h"].append(x["h"]), out["id"].append(row), out["start"].append(start), out["left"].append(x["before"])
-                out["about"].append(data[start : x["at"] - x["after"] + LENGTH])
+                start = x["at"] - x["most"]
+                out["h"].append(x["c1"]), out["id"].append(row), out["start"].append(start), out["left"].append(x["most"])
+                out["about"].append(data[start : x["at"] - x["least"] + LENGTH])
             if len(out["h"]) > 10_000:
                 yield pa.RecordBatch.from_pydict(out, _ABOUT)
                 out = {k: [] for k in out}
@@ -177,78 +249,6 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(len(held["h"]))
 
 
-_CELLS = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("most", pa.int16()), ("least", pa.int16()), ("c1", pa.int64()), ("c2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-_DIGESTS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("id", pa.int64()), ("start", pa.int32())])
-
-
-def _pairs(digests: list[bytes]) -> list[pa.Array]:
-    d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    return [pa.array(d[:, 0]), pa.array(d[:, 1])]
-
-
-def _digest(data: bytes, *marks: int) -> bytes:
-    return hashlib.blake2b(data + bytes(marks), digest_size=16).digest()
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, text, places): strings ``CELL`` starts at a time, aligned to the anchor.
-
-    Of each cell a digest of what all its strings have in common, and one of all their bytes. ``most`` and ``least``
-    are how far before the anchor its first and last string start.
-    """
-    for b in batches:
-        out: dict[str, list] = {"id": [], "at": [], "most": [], "least": []}
-        cores, spans = [], []
-        for row, t, places in zip(b.column("id").to_pylist(), b.column("text"), b.column("places"), strict=True):
-            data = t.as_py().encode("utf-8", "surrogatepass")
-            for x in places.as_py():
-                p = x["at"]
-                for q in range(x["after"] // CELL, x["before"] // CELL + 1):
-                    most, least = min(x["before"], q * CELL + CELL - 1), max(x["after"], q * CELL)
-                    out["id"].append(row), out["at"].append(p), out["most"].append(most), out["least"].append(least)
-                    cores.append(_digest(data[p - q * CELL : p - q * CELL - CELL + 1 + LENGTH], q))
-                    spans.append(_digest(data[p - most : p - least + LENGTH], most, least))
-            if len(cores) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, _CELLS.field(k).type) for k, v in out.items()] + _pairs(cores) + _pairs(spans), schema=_CELLS)
-                out, cores, spans = {k: [] for k in out}, [], []
-        yield pa.RecordBatch.from_arrays([pa.array(v, _CELLS.field(k).type) for k, v in out.items()] + _pairs(cores) + _pairs(spans), schema=_CELLS)
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, text, cells): a digest of each string of the cells and of its anchor's place in it."""
-    for b in batches:
-        ds, ids, starts = [], [], []
-        for row, t, cells in zip(b.column("id").to_pylist(), b.column("text"), b.column("cells"), strict=True):
-            data = t.as_py().encode("utf-8", "surrogatepass")
-            for x in cells.as_py():
-                for o in range(x["least"], x["most"] + 1):
-                    s = x["at"] - o
-                    ds.append(_digest(data[s : s + LENGTH], o)), ids.append(row), starts.append(s)
-            if len(ds) > 20_000:
-                yield pa.RecordBatch.from_arrays([*_pairs(ds), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], schema=_DIGESTS)
-                ds, ids, starts = [], [], []
-        yield pa.RecordBatch.from_arrays([*_pairs(ds), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], schema=_DIGESTS)
-
-
-def common(hold: DataFrame) -> DataFrame:
-    """``id, start, end`` of repeated strings at the anchors of very common passages.
-
-    ``hold``: id, text, places. A cell whose bytes all occur twice is repeated whole. One whose common part occurs once
-    holds nothing repeated. The strings of the others, at the edges of passages, are counted one by one; a repeated
-    cell with the same common part sends one of its kind, as its strings may be theirs.
-    """
-    cells = cut(hold.mapInArrow(_cells, "id long, at int, most short, least short, c1 long, c2 long, s1 long, s2 long"))
-    kinds = cells.groupBy("c1", "c2", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at", "most", "least")).alias("one"))
-    parts = kinds.groupBy("c1", "c2").agg(F.sum("n").alias("of_part"), F.count("*").alias("kinds"))
-    known = cut(kinds.join(parts, ["c1", "c2"]))
-    whole = cells.join(known.filter("n > 1").select("s1", "s2"), ["s1", "s2"]).select("id", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + LENGTH).alias("end"))
-    open_ = known.filter("kinds > 1").select("one.*").groupBy("id").agg(F.collect_list(F.struct("at", "most", "least")).alias("cells"))
-    strings = cut(hold.select("id", "text").join(open_, "id").mapInArrow(_strings, "d1 long, d2 long, id long, start int"))
-    twice = strings.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2")
-    single = strings.join(twice, ["d1", "d2"]).select("id", "start", (F.col("start") + LENGTH).alias("end"))
-    return whole.unionByName(single)
-
-
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(runs):
@@ -259,28 +259,59 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _level(hold: DataFrame, one: DataFrame, keys: DataFrame, width: int, deeper: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """Runs (id, start, end) of repeated strings among the pieces of ``hold``, and the places to be cut narrower, if any.
+
+    ``hold``: id, text and anchors' hashes or places. ``one``, ``keys``: the texts (key, text), and the key of each id.
+    """
+    cut_up = cut(hold.mapInArrow(lambda b: _cut_up(b, width), _PIECES))
+    own = cut_up.select("id", F.explode("runs").alias("r")).select("id", "r.start", "r.end")
+    each = cut_up.select("id", F.explode("pieces").alias("p")).select("id", "p.*")
+    kinds = cut(each.groupBy("c1", "c2", "s1", "s2").agg(F.sum("n").alias("n"), F.min("id").alias("id")))
+    again = cut(kinds.filter("n > 1").select("s1", "s2"))
+    whole = each.filter("n = 1").join(small(again), ["s1", "s2"]).select("id", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + LENGTH).alias("end"))
+    meet = cut(kinds.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    first = cut(kinds.join(small(meet), ["c1", "c2"]).select("s1", "s2", "id", "kinds"))
+    reps = cut(each.join(small(first), ["s1", "s2", "id"]).select("id", "at", "most", "least", "c1", "kinds"))
+
+    def with_texts(some: DataFrame) -> DataFrame:
+        places = some.groupBy("id").agg(F.collect_list(F.struct("at", "most", "least", "c1")).alias("places"))
+        return one.join(small(cut(places.join(keys, "id"))), "key").select("id", "text", "places")
+
+    about = with_texts(reps.filter(F.col("kinds") <= GROUP)).mapInArrow(_surroundings, "h long, id long, start int, left short, about binary")
+    single = about.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, "id long, start int, end int")
+    more = reps.filter(F.col("kinds") > GROUP)
+    return [own, whole, single], with_texts(more) if deeper and not more.isEmpty() else None
+
+
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``key, runs`` (start and end in bytes) of the distinct texts that hold repeated strings, and ``key, copies``."""
     keyed = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
-    copies = cut(keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")).filter("copies > 1"))
-    one = keyed.join(small(copies, 96), "key", "left").filter("copies is null or doc_id <=> rep").select("key", "text")
-    found = one.mapInArrow(_anchored, "key string, at array<int>, h array<long>, before array<short>, after array<short>")
-    found = cut(found.withColumn("id", F.monotonically_increasing_id()))
-    each = found.select("id", F.explode(F.arrays_zip("at", "h", "before", "after")).alias("x")).select("id", "x.*")
-    often = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    places = each.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", "before", "after", "n")).alias("places"))
-    places = cut(places.join(found.select("id", "key"), "id"))
-    hold = one.join(small(places.select("key"), 64), "key", "left_semi").join(places, "key")
-
-    def some(condition: str) -> DataFrame:
-        return hold.withColumn("places", F.expr(f"filter(places, x -> x.n {condition} {HOT})")).filter("size(places) > 0").select("id", "text", "places")
-
-    about = some("<=").mapInArrow(_surroundings, "h long, id long, start int, left short, about binary")
-    runs = about.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, "id long, start int, end int")
-    if not places.filter(f"exists(places, x -> x.n > {HOT})").isEmpty():
-        runs = runs.unionByName(common(some(">")))
-    runs = runs.join(places.select("id", "key"), "id").groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    return cut(runs), copies
+    with scratch(docs.sparkSession) as s:
+        rows = keyed.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+        copies = s.keep(cut(rows.groupBy("key").agg(F.sum("n").alias("copies"), F.min("doc_id").alias("rep"), F.max("n").alias("most")).filter("copies > 1")))
+        one = keyed.join(small(copies), "key", "left").filter("copies is null or doc_id <=> rep")
+        if not copies.filter("most > 1").isEmpty():  # rows repeated with their id
+            one = one.filter("most is null or most = 1").unionByName(one.filter("most > 1").dropDuplicates(["key"]))
+        one = one.select("key", "text")
+        found = one.mapInArrow(_anchored, "key string, h array<long>, n array<int>")
+        found = cut(found.withColumn("id", F.monotonically_increasing_id()))
+        each = found.select("id", F.explode(F.arrays_zip("h", "n")).alias("x")).select("id", "x.*")
+        often = cut(each.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+        marked = cut(each.select("id", "h").join(small(often), "h").groupBy("id").agg(F.collect_list("h").alias("h")))
+        keys = cut(marked.select("id").join(found.select("id", "key"), "id"))
+        hold = one.join(small(cut(marked.join(keys, "id"))), "key").select("id", "text", "h")
+        runs: list[DataFrame] = []
+        for width in WIDTHS:
+            some, hold = _level(hold, one, keys, width, width > 1)
+            runs += some
+            if hold is None:
+                break
+        every = runs[0]
+        for r in runs[1:]:
+            every = every.unionByName(r)
+        by_id = every.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+        return s.keep(cut(keys.join(by_id, "id").select("key", "runs"))), copies
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +332,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) of each row of ``docs`` (doc_id, text)."""
     runs, copies = repeated(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
-    both = keyed.join(small(runs, 256), "key", "left").join(small(copies.select("key", "copies"), 96), "key", "left")
+    both = keyed.join(small(runs), "key", "left").join(small(copies.select("key", "copies")), "key", "left")
     whole = F.coalesce((F.col("copies") > 1) & (F.octet_length("text") >= LENGTH), F.lit(False)).alias("whole")
     return both.select("doc_id", "text", whole, "runs").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

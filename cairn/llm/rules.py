@@ -79,7 +79,7 @@ def judge(counted: DataFrame) -> DataFrame:
     long = rated.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(f"_{k} div {BIN}").alias("bin")) for k in RATES])).alias("x"))
     sketch = cut(long.groupBy("lang", "source", "x.rule", "x.bin").agg(F.count("*").alias("n")))
     table = cut(thresholds(sketch))
-    at = rated.join(small(table, 512), F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    at = rated.join(small(table), F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     failed = F.filter(F.array(*[F.when(F.col(f"_{k}") > F.col(f"t_{k}"), F.lit(k)) for k in RATES]), lambda x: x.isNotNull())
     out = at.withColumn("base_failed", base_failed()).withColumn("failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).select(*counted.columns, "base_failed", "failed", "kept")

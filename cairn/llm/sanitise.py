@@ -133,9 +133,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, disc
     found = cut(found.filter(F.col("n_least") <= bound).drop("n_least"))
     terms = cut(found.select("term").distinct())
     ws = F.array_distinct(F.transform(F.split(F.col("text"), f"[^{LETTERS}]+"), F.lower))
-    share_of = docs.select(text_key(F.col("text")).alias("key"), "text").join(small(copies, 64), "key", "left")
+    share_of = docs.select(text_key(F.col("text")).alias("key"), "text").join(small(copies), "key", "left")
     rows = share_of.select(F.coalesce(1.0 / F.col("copies"), F.lit(1.0)).alias("one"), F.explode(ws).alias("term"))
-    n_t = rows.join(small(terms, 64), "term").groupBy("term").agg(F.round(F.sum("one")).alias("n_t"))
+    n_t = rows.join(small(terms), "term").groupBy("term").agg(F.round(F.sum("one")).alias("n_t"))
     scored = found.join(n_t, "term")
     share = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     return scored.filter("n_e < n").select("entity", "term", share.alias("share")).filter(F.col("share") >= discloses)
@@ -164,9 +164,9 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The scan, and ``key, found`` (spans of disclosing terms) of the texts that have any."""
     scanned = cut(scan(docs))
     shares = cut(disclosing(docs, scanned))
-    held = scanned.filter("size(entities) > 0").select("key", "spans", F.explode("entities").alias("entity")).join(small(shares, 128), "entity")
+    held = scanned.filter("size(entities) > 0").select("key", "spans", F.explode("entities").alias("entity")).join(small(shares), "entity")
     wanted = cut(held.groupBy("key").agg(F.first("spans").alias("spans"), F.collect_set(F.struct("term", "share")).alias("terms")))
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(small(wanted, 2048), "key")
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(small(wanted), "key")
     found = cut(texts.mapInArrow(_find, "key string, found array<struct<start:int,end:int,removed:boolean>>"))
     return scanned, found.dropDuplicates(["key"])
 
@@ -193,13 +193,13 @@ def sanitised(docs: DataFrame) -> DataFrame:
     scanned, found = spans(docs.select("doc_id", "text"))
     base = scanned.filter("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("_cairn_spans"))
     cuts = cut(base.join(found.select("key", F.col("found").alias("_cairn_found")), "key", "left").withColumnRenamed("key", "_cairn_key"))
-    joined = docs.join(small(cuts, 1024), text_key(F.col("text")) == F.col("_cairn_key"), "left").drop("_cairn_key")
+    joined = docs.join(small(cuts), text_key(F.col("text")) == F.col("_cairn_key"), "left").drop("_cairn_key")
     return joined.mapInArrow(_replaced, docs.schema)
 
 
 def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned, found = spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    both = scanned.select("doc_id", "key", "spans").join(small(found, 1024), "key", "left")
+    both = scanned.select("doc_id", "key", "spans").join(small(found), "key", "left")
     written = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     terms = F.transform(F.coalesce("found", F.array()), lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest table, in bytes as counted, that an operator broadcasts.
 BROADCAST_BYTES = 32 << 20
@@ -20,19 +21,53 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs in one process."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_scratches: list[scratch] = []
+
+
+class scratch:
+    """While it is open, what ``cut`` writes is noted; at its end all of that is deleted but what ``keep`` was called on."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, as ``cut`` returned it, outlives this; a scratch around it has it next."""
+        self.kept.add(df._cairn_at)
+        return df
+
+    def __enter__(self) -> scratch:
+        _scratches.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratches.remove(self)
+        for at in self.made:
+            if at not in self.kept:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            elif _scratches:
+                _scratches[-1].made.append(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    if _scratches:
+        _scratches[-1].made.append(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._cairn_at = at
+    return out
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -45,13 +80,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
-def small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit in ``limit`` bytes; else as it is, for a shuffled join.
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, summed by their real sizes, fit in ``limit`` bytes; else as it is, for a shuffled join.
 
-    ``df`` should be cheap to count, such as one that ``cut`` returned.
+    ``df`` should be cheap to read twice, such as one that ``cut`` returned.
     """
-    most = limit // bytes_per_row
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+    def width(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return 16 + F.coalesce(F.octet_length(field.name), F.lit(0))
+        if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            return 16 + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
+        return F.lit(8)
+
+    size = df.agg(F.sum(sum((width(f) for f in df.schema), F.lit(32)).cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def text_key(text: Column) -> Column:

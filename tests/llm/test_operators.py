@@ -218,13 +218,38 @@ def brute_repeats(given, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
-def test_repeats(docs, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("group", [2048, 1])
+def test_repeats(docs, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     got = Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(docs).collect())
     assert got == brute_repeats([x[1] for x in rows()], 200)
 
 
+def odd_repeats():
+    r = random.Random(14)
+    passage = prose(r, 90)
+    shared = [prose(r, r.randrange(30)) + r.choice((" ", "\n", "")) + passage + prose(r, r.randrange(30)) for _ in range(60)]
+    periodic = ["ab" * 700, "x" * 900 + "y" + "x" * 300, "abc" * 100 + passage + "abc" * 150, passage[:100] * 5]
+    return [*shared, *periodic, passage, passage[50:], "é" * 300]
+
+
+@pytest.mark.parametrize("group, widths", [(2048, repeats.WIDTHS), (1, repeats.WIDTHS), (8, (161, 7, 1))])
+def test_repeats_of_common_and_periodic_passages(spark, monkeypatch, group, widths):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(repeats, "WIDTHS", widths)
+    texts = odd_repeats()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(d).collect())
+    assert got == brute_repeats(texts, 200)
+
+
+def test_a_long_text_of_one_byte_is_one_piece():
+    data = b"x" * 1_000_000
+    at, _, first, last = repeats.anchors(data)
+    found, runs = repeats.pieces(data, zip(at.tolist(), (at - first).tolist(), (at - last).tolist(), strict=True), repeats.WIDTHS[0])
+    assert len(found) == 1 and runs == [(0, len(data))]
+
+
 def test_anchor_of_every_string():
     r = random.Random(4)
     for n, alphabet in ((1500, b"ab"), (900, b"a"), (2500, bytes(range(97, 123)))):
