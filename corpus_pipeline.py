@@ -32,15 +32,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = classes.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
     twice = cut(twice.select(F.col("doc_id").alias("_cairn_id"), F.col("key").alias("_cairn_key")))
     mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_cairn_id")) & text_key(F.col("text")).eqNullSafe(F.col("_cairn_key"))
-    kept = docs.join(small(gone, 128), mine, "left_anti")
-    once = kept.join(small(twice, 128), mine, "left_anti")
-    return once.unionByName(kept.join(small(twice, 128), mine, "left_semi").dropDuplicates(["doc_id", "text"]))
+    kept = docs.join(small(gone), mine, "left_anti")
+    once = kept.join(small(twice), mine, "left_anti")
+    return once.unionByName(kept.join(small(twice), mine, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item, or a shorter item whole, go."""
     hit = decontam.hit_texts(docs, read(spark, sf_dir, "benchmark")).select("_cairn_key")
-    return docs.join(small(hit, 64), text_key(F.col("text")) == F.col("_cairn_key"), "left_anti")
+    return docs.join(small(hit), text_key(F.col("text")) == F.col("_cairn_key"), "left_anti")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(docs).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("_cairn_copies"), F.count("*").alias("_cairn_n"))
     plan = cut(plan.withColumnsRenamed({"doc_id": "_cairn_id", "source": "_cairn_source", "tie": "_cairn_tie"}).filter("_cairn_copies > 0"))
     mine = F.col("doc_id").eqNullSafe(F.col("_cairn_id")) & F.col("source").eqNullSafe(F.col("_cairn_source")) & F.md5("text").eqNullSafe(F.col("_cairn_tie"))
-    taken = docs.join(small(plan, 256), mine)
+    taken = docs.join(small(plan), mine)
     once = taken.filter("_cairn_n = 1").unionByName(taken.filter("_cairn_n > 1").dropDuplicates(["doc_id", "source", "text"]))
     rest = [c for c in docs.columns if c != "copy"]
     return once.select(*rest, F.explode(F.sequence(F.lit(1), F.col("_cairn_copies").cast("int"))).alias("copy"))
