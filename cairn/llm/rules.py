@@ -1,16 +1,16 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Every document gets counts, and from them rates in whole basis points. A rate's distribution is sketched per language
-and source as a histogram over equal bins of ``BIN`` basis points: such sketches are of bounded size, merge by adding
-counts, are built before the shuffle, and know a quantile to within one bin. A document fails a rule if its rate lies
-above upper quartile + ``SPREAD`` times the interquartile range, and above a floor below which no rate is odd. Sketches
+Every document gets counts, and from them rates in whole parts per million. A rate's distribution is sketched per
+language and source as a histogram over log-spaced bins, whose bounds are integers of ``BITS`` leading bits: such
+sketches are of bounded size, merge by adding counts, are built before the shuffle, and know each quantile to within
+one part in 2 ** (``BITS`` - 1). A rule names the tail it judges by: the quantile of its group below which a rate is
+usual. A document fails if its rate lies above ``SPREAD`` times that; there is no cutoff that all groups share. Sketches
 of under ``LEAST`` documents are widened by merging: the language's sketch is used, then the whole corpus's.
 
-A language and source are known from 8 bytes of hash or so after aggregation; the thresholds' table has a row for each
-language and source, and is broadcast only after its rows were counted.
+The thresholds' table has a row for each language and source, and is broadcast only after its size was summed.
 
 Defined cases: null text has no words and fails the base rules; null language or source forms a group of its own;
-repeated rows count each; an empty table gives an empty result; other columns are ignored.
+repeated rows count each; a rate of 0 never fails; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +21,21 @@ from pyspark.sql import functions as F
 
 from cairn.llm.shared import SPACE, cut, let, read, small, words
 
-#: Rate: numerator, denominator, floor in basis points.
+#: Rate: numerator, denominator, and the tail's quantile in thousandths.
 RATES = {
-    "symbols": ("n_symbols", "word_chars", 300),
-    "shouting": ("n_exclaims", "word_chars", 300),
-    "dup_lines": ("n_dup_lines", "n_lines", 3000),
-    "repeats": ("n_repeat_words", "n_words", 2000),
+    "symbols": ("n_symbols", "word_chars", 900),
+    "shouting": ("n_exclaims", "word_chars", 990),
+    "dup_lines": ("n_dup_lines", "n_lines", 995),
+    "repeats": ("n_repeat_words", "n_words", 995),
 }
-BIN = 50
-SPREAD = 3
-LEAST = 100
+BITS = 6
+SPREAD = 1.5
+LEAST = 200
+
+
+def bin_of(rate: str) -> str:
+    """SQL for the greatest rate in the bin of ``rate``, in Spark."""
+    return f"({rate}) | (shiftleft(1L, greatest(0, length(bin({rate})) - {BITS})) - 1)"
 
 
 def repeat_words(ws: Column) -> Column:
@@ -75,8 +80,8 @@ def judge(counted: DataFrame) -> DataFrame:
     """``counted`` with ``base_failed``, ``failed`` (names of the adaptive rules that fail) and ``kept``."""
     rated = counted
     for name, (over, under, _) in RATES.items():
-        rated = rated.withColumn(f"_{name}", F.when(F.col(under) > 0, F.floor(F.col(over) * 10000 / F.col(under))).otherwise(0).cast("long"))
-    long = rated.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(f"_{k} div {BIN}").alias("bin")) for k in RATES])).alias("x"))
+        rated = rated.withColumn(f"_{name}", F.when(F.col(under) > 0, F.expr(f"{over} * 1000000 div {under}")).otherwise(0).cast("long"))
+    long = rated.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(bin_of(f"_{k}")).alias("bin")) for k in RATES])).alias("x"))
     sketch = cut(long.groupBy("lang", "source", "x.rule", "x.bin").agg(F.count("*").alias("n")))
     table = cut(thresholds(sketch))
     at = rated.join(small(table), F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
@@ -86,26 +91,24 @@ def judge(counted: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """``t_lang, t_source`` and a threshold in basis points for each rate, from mergeable sketches."""
+    """``t_lang, t_source`` and a threshold in parts per million for each rate, from mergeable sketches."""
+    tail = F.create_map(*[x for k, (_, _, v) in RATES.items() for x in (F.lit(k), F.lit(v))])
     levels = []
     for k, keys in enumerate((["lang", "source", "rule"], ["lang", "rule"], ["rule"])):
         merged = sketch.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
         w = W.partitionBy(*keys)
         ranked = merged.withColumn("through", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-        quantile = lambda q: F.min(F.when(F.col("through") * 4 >= F.col("total") * q, F.col("bin"))) * BIN  # noqa: E731, B023
-        found = ranked.groupBy(*keys).agg(quantile(1).alias(f"q1_{k}"), quantile(3).alias(f"q3_{k}"), F.first("total").alias(f"n_{k}"))
-        levels.append(found)
+        usual = F.min(F.when(F.col("through") * 1000 >= F.col("total") * tail[F.col("rule")], F.col("bin")))
+        levels.append(ranked.groupBy(*keys).agg(usual.alias(f"q_{k}"), F.first("total").alias(f"n_{k}")))
     groups = levels[0]
     for k, keys in ((1, ["lang", "rule"]), (2, ["rule"])):
-        wide = levels[k].select(*[F.col(x).alias(f"k{k}_{x}") for x in keys], f"q1_{k}", f"q3_{k}", f"n_{k}")
+        wide = levels[k].select(*[F.col(x).alias(f"k{k}_{x}") for x in keys], f"q_{k}", f"n_{k}")
         cond = F.lit(True)
         for x in keys:
             cond = cond & F.col(x).eqNullSafe(F.col(f"k{k}_{x}"))
         groups = groups.join(wide, cond)
-    pick = lambda c: F.when(F.col("n_0") >= LEAST, F.col(f"{c}_0")).when(F.col("n_1") >= LEAST, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
-    floor = F.create_map(*[x for k, (_, _, v) in RATES.items() for x in (F.lit(k), F.lit(v))])
-    limit = F.greatest(floor[F.col("rule")], pick("q3") + SPREAD * (pick("q3") - pick("q1")))
-    by = groups.select("lang", "source", "rule", limit.alias("limit"))
+    pick = F.when(F.col("n_0") >= LEAST, F.col("q_0")).when(F.col("n_1") >= LEAST, F.col("q_1")).otherwise(F.col("q_2"))
+    by = groups.select("lang", "source", "rule", (pick * SPREAD).alias("limit"))
     return by.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.max(F.when(F.col("rule") == k, F.col("limit"))).alias(f"t_{k}") for k in RATES])
 
 
@@ -115,7 +118,7 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(counted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed").alias("failed"))
 
 
-_FLOORS = " ".join(f"WHEN '{k}' THEN {v}" for k, (_, _, v) in RATES.items())
+_TAILS = "CASE rule " + " ".join(f"WHEN '{k}' THEN {v}" for k, (_, _, v) in RATES.items()) + " END"
 OP2_SQL = f"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
@@ -136,21 +139,18 @@ WITH w AS (
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(length(regexp_replace(t, '[^!]', '', 'g')) AS BIGINT) AS n_exclaims
   FROM w LEFT JOIN rep USING (r)
 ), rates AS (
-  {" UNION ALL ".join(f"SELECT r, lang, source, '{k}' AS rule, CASE WHEN {d} > 0 THEN {n} * 10000 // {d} ELSE 0 END AS rate FROM c" for k, (n, d, _) in RATES.items())}
+  {" UNION ALL ".join(f"SELECT r, lang, source, '{k}' AS rule, CASE WHEN {d} > 0 THEN {n} * 1000000 // {d} ELSE 0 END AS rate FROM c" for k, (n, d, _) in RATES.items())}
 ), ranked AS (
-  SELECT *, rate // {BIN} * {BIN} AS bin,
+  SELECT *, rate | ((CAST(1 AS BIGINT) << greatest(0, length(bin(rate)) - {BITS})) - 1) AS bin, {_TAILS} AS tail,
          row_number() OVER a AS k0, count(*) OVER a0 AS n0, row_number() OVER b AS k1, count(*) OVER b0 AS n1, row_number() OVER e AS k2, count(*) OVER e0 AS n2
   FROM rates WINDOW a AS (PARTITION BY lang, source, rule ORDER BY rate), a0 AS (PARTITION BY lang, source, rule),
     b AS (PARTITION BY lang, rule ORDER BY rate), b0 AS (PARTITION BY lang, rule), e AS (PARTITION BY rule ORDER BY rate), e0 AS (PARTITION BY rule)
 ), q AS (
-  SELECT *, min(CASE WHEN k0 * 4 >= n0 THEN bin END) OVER g0 AS a1, min(CASE WHEN k0 * 4 >= n0 * 3 THEN bin END) OVER g0 AS a3,
-         min(CASE WHEN k1 * 4 >= n1 THEN bin END) OVER g1 AS b1, min(CASE WHEN k1 * 4 >= n1 * 3 THEN bin END) OVER g1 AS b3,
-         min(CASE WHEN k2 * 4 >= n2 THEN bin END) OVER g2 AS c1, min(CASE WHEN k2 * 4 >= n2 * 3 THEN bin END) OVER g2 AS c3
+  SELECT *, min(CASE WHEN k0 * 1000 >= n0 * tail THEN bin END) OVER g0 AS q0, min(CASE WHEN k1 * 1000 >= n1 * tail THEN bin END) OVER g1 AS q1,
+         min(CASE WHEN k2 * 1000 >= n2 * tail THEN bin END) OVER g2 AS q2
   FROM ranked WINDOW g0 AS (PARTITION BY lang, source, rule), g1 AS (PARTITION BY lang, rule), g2 AS (PARTITION BY rule)
-), limits AS (
-  SELECT r, rule, rate, CASE WHEN n0 >= {LEAST} THEN a1 WHEN n1 >= {LEAST} THEN b1 ELSE c1 END AS q1, CASE WHEN n0 >= {LEAST} THEN a3 WHEN n1 >= {LEAST} THEN b3 ELSE c3 END AS q3 FROM q
 ), bad AS (
-  SELECT r, rule FROM limits WHERE rate > greatest(CASE rule {_FLOORS} END, q3 + {SPREAD} * (q3 - q1))
+  SELECT r, rule FROM q WHERE rate > {SPREAD} * CASE WHEN n0 >= {LEAST} THEN q0 WHEN n1 >= {LEAST} THEN q1 ELSE q2 END
 ), fails AS (
   SELECT r, string_agg(rule, ',' ORDER BY CASE rule {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(RATES))} END) AS failed FROM bad GROUP BY r
 )
