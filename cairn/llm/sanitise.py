@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -67,7 +67,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return out
     if "." in text:
-        out += [("ip", m.start(), m.end()) for m in _each(_IP, _IP_HERE, text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _each(_IP, _IP_HERE, text) if all(len(y := x.lstrip("0")) <= 3 and int(y or 0) <= 255 for x in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             d = m[0].replace(" ", "").replace("-", "")
@@ -82,10 +82,21 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(c for c in value if c.isdigit())}"
 
 
+def _within(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Tells whether a stretch has a place in common with any span: the furthest end of those that begin before its end tells."""
+    starts = sorted(spans)
+    upto = list(accumulate((e for _, e in starts), max))
+
+    def of(a: int, z: int) -> bool:
+        k = bisect_left(starts, (z,))
+        return k > 0 and upto[k - 1] > a
+
+    return of
+
+
 def beside(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[str, str]]:
     """(entity, term) for the words within ``window`` words of a span, however far, but spans themselves and short words."""
-    taken = sorted((s, e) for _, s, e in spans)
-    upto = list(accumulate((e for _, e in taken), max))  # a word is in a span if the furthest end of those that begin before it is
+    within = _within([(s, e) for _, s, e in spans])
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts, ends = [s for s, _ in words], [e for _, e in words]
     out = set()
@@ -93,8 +104,7 @@ def beside(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -
         name = entity(kind, text[s:e])
         last, first = bisect_right(ends, s), bisect_left(starts, e)
         for a, z in words[max(0, last - window) : last] + words[first : first + window]:
-            k = bisect_left(taken, (z,))
-            if z - a >= LETTERS_LEAST and (not k or upto[k - 1] <= a):
+            if z - a >= LETTERS_LEAST and not within(a, z):
                 out.add((name, text[a:z].lower()))
     return sorted(out)
 
@@ -148,13 +158,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, shares = t.as_py(), {}
             for x in terms:
                 shares[x["term"]] = max(x["share"], shares.get(x["term"], 0))
-            taken = sorted((x["start"], x["end"]) for x in base)
-            spans, k = [], 0
+            within = _within([(x["start"], x["end"]) for x in base])
+            spans = []
             for m in _WORD.finditer(text):
-                while k < len(taken) and taken[k][1] <= m.start():
-                    k += 1
                 share = shares.get(m[0].lower())
-                if share is not None and not any(a < m.end() and m.start() < z for a, z in taken[k : k + 4]):
+                if share is not None and not within(m.start(), m.end()):
                     spans.append({"start": m.start(), "end": m.end(), "removed": share >= REMOVES})
             out.append(spans)
         yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())])))], ["key", "found"])

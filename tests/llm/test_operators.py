@@ -138,10 +138,27 @@ def test_rules_find_odd_rates(spark):
     assert got[1000].failed == ["symbols"]
 
 
-def test_thresholds_are_exact_quantiles_of_bins(spark):
-    sketch = spark.createDataFrame([("en", "s", "symbols", b, n) for b, n in ((0, 100), (10, 60), (20, 40), (30, 1))], "lang string, source string, rule string, bin long, n long")
-    row = rules.thresholds(sketch).first()
-    assert row.t_symbols == 10 * rules.BIN + rules.SPREAD * 10 * rules.BIN
+def test_thresholds_are_quantiles_of_mergeable_bins(spark):
+    sketch = [("en", "s", "repeats", b, n) for b, n in ((0, 900), (10_239, 60), (20_479, 39), (30_719, 1))] + [("en", "few", "repeats", 40_959, 1)]
+    frame = lambda x: spark.createDataFrame(x, "lang string, source string, rule string, bin long, n long")
+    got = {r.t_source: r.t_repeats for r in rules.thresholds(frame(sketch)).collect()}
+    assert got == {"s": 20_479 * rules.SPREAD, "few": 20_479 * rules.SPREAD}  # the few get their language's
+    halves = [(*x[:4], x[4] // 2) for x in sketch] + [(*x[:4], x[4] - x[4] // 2) for x in sketch]
+    assert {r.t_source: r.t_repeats for r in rules.thresholds(frame(halves)).collect()} == got
+
+
+def test_bins_hold_rates_closely(spark):
+    rows_ = spark.range(0, 1_000_001, 7).selectExpr("id", f"{rules.bin_of('id')} AS b").toPandas()
+    assert (rows_.b >= rows_.id).all() and (rows_.b <= rows_.id * (1 + 2 / 2**rules.BITS)).all() and rows_.b.is_monotonic_increasing
+
+
+def test_groups_get_limits_of_their_own(spark):
+    r = random.Random(13)
+    marked = lambda n: " ".join(w + "#" * (i < n) for i, w in enumerate(prose(r, 80, 10**6).split()))
+    docs = [(i, marked(40 if i % 5 == 0 else 0), "en", "code") for i in range(400)] + [(1000 + i, marked(10 if i == 0 else 0), "en", "news") for i in range(400)]
+    got = {x.doc_id: x.kept for x in rules.judge(rules.counts(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))).collect()}
+    # 40 marks are usual in one source, 10 are not in the other: no cutoff in common decides both.
+    assert all(got[i] for i in range(400)) and not got[1000] and all(got[1000 + i] for i in range(1, 400))
 
 
 def tokens(t):
@@ -291,6 +308,51 @@ def test_base_spans():
         assert [f"{k}:{s}:{e}" for k, s, e in sanitise.base_spans(t)] == brute_spans(t), t
 
 
+def test_long_zeros_and_many_entities():
+    assert sanitise.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    text = " ".join(f"name{chr(97 + i % 26)} x{i}@y.org" for i in range(20_000))
+    found = sanitise.base_spans(text)
+    assert len(found) == 20_000 and len(sanitise.beside(text, found)) == 4 * 20_000 - 4  # two names on each side but at the ends
+
+
+def brute_disclosing(texts, support, discloses):
+    distinct = sorted({t for t in texts if t is not None})
+    held, near, has = defaultdict(set), defaultdict(set), defaultdict(set)
+    for k, t in enumerate(distinct):
+        spans = sanitise.base_spans(t)
+        words = [(m.start(), m.end()) for m in re.finditer(f"[{sanitise.LETTERS}]+", t)]
+        for w in words:
+            has[t[w[0] : w[1]].lower()].add(k)
+        for kind, s, e in spans:
+            name = sanitise.entity(kind, t[s:e])
+            held[name].add(k)
+            before, after = [w for w in words if w[1] <= s][-sanitise.WINDOW :], [w for w in words if w[0] >= e][: sanitise.WINDOW]
+            for a, z in before + after:
+                if z - a >= sanitise.LETTERS_LEAST and not any(x < z and a < y for _, x, y in spans):
+                    near[name, t[a:z].lower()].add(k)
+    out, n = {}, len(distinct)
+    for (e, t), ks in near.items():
+        if len(ks) >= support and len(held[e]) < n:
+            share = np.log2(len(ks) * n / (len(has[t]) * len(held[e]))) / np.log2(n / len(held[e]))
+            if share >= discloses:
+                out[e, t] = share
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    r = random.Random(15)
+    names = [f"{prose(r, 1)}q{chr(97 + i)}ven" for i in range(6)]
+    texts = []
+    for _ in range(150):
+        k = r.randrange(6)
+        texts.append(" ".join(r.choice((f"{names[k]} u{k}@corp.example", f"10.0.0.{k} seen by {names[k]}", prose(r, 9).replace("w", "wor"), "the and of +44 20 7946 095" + str(k))) for _ in range(3)))
+    texts += [*texts[:20], None, "", texts[0]]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(x.entity, x.term): x.share for x in sanitise.disclosing(d, sanitise.scan(d), 3, 0.5).collect()}
+    want = brute_disclosing(texts, 3, 0.5)
+    assert set(got) == set(want) and len(want) > 5 and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_disclosing_terms(spark):
     r = random.Random(7)
     texts = [f"{prose(r, 20)} boss Zorblax wrote to big.boss@corp.example about {prose(r, 12)}" for _ in range(5)] + [prose(r, 40) + " boss" for _ in range(60)]
