@@ -1,8 +1,11 @@
 """Exact nearest neighbours by TF-IDF cosine over a block-max inverted index.
 
-Examples with equal vectors are one entry with its labels summed. Entries are dealt into blocks; for each term the
-index has the postings and, for each block, the greatest weight. A query looks at blocks in order of their bounds and
-stops once no bound reaches its k-th best cosine, so the result is that of looking at all.
+Examples with equal vectors are one entry with its labels summed. Entries are dealt into blocks, like ones together. For
+each term the index has its postings; for terms in many entries also the greatest weight in each block. A query adds up
+the short lists, and with the blocks' greatest weights of the long ones that bounds the cosines in each block. It looks
+at the most promising block first, and of the others only at those whose bound reaches the k-th best cosine found there,
+so the result is that of looking at all. What comes within rounding of the k-th best is computed again in double
+precision, in an order that does not depend on the other queries.
 """
 
 from __future__ import annotations
@@ -12,9 +15,21 @@ from collections.abc import Iterable
 
 import numpy as np
 
-BLOCK = 512
-#: Words in one of so many entries or more are multiplied as a matrix, for so many queries at once.
+BLOCK = 256
+#: Terms in one of so many entries or more have long lists; so many queries are worked at once.
 COMMON, QUERIES = 8, 128
+#: More than float32 sums can be off.
+_SLACK = 1e-4
+
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(vector: dict[int, float] | Sparse) -> Sparse:
+    """A vector as its terms, rising, and their weights."""
+    if isinstance(vector, tuple):
+        return vector
+    items = sorted(vector.items())
+    return np.array([t for t, _ in items], np.int64), np.array([w for _, w in items], np.float64)
 
 
 class Entries:
@@ -40,165 +55,110 @@ class Entries:
 
 
 class Index(Entries):
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int]):
-        """``vectors``: term to weight of unit length; terms are small integers."""
-        same: dict[tuple, list[int]] = defaultdict(list)
+    def __init__(self, vectors: Iterable[dict[int, float] | Sparse], labels: list[int], ids: list[int]):
+        """``vectors``: term to weight of unit length; terms are small integers. Those without terms are no neighbours."""
+        same: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
         for row, v in enumerate(vectors):
-            same[tuple(sorted((t, round(w, 9)) for t, w in v.items()))].append(row)
-        keys = sorted(same)  # like entries come to lie together, which tightens the bounds
-        self.key_at = {k: i for i, k in enumerate(keys)}
+            at, w = sparse(v)
+            if len(at):
+                same[at.astype(np.int32).tobytes(), w.astype(np.float32).tobytes()].append(row)
+        heads = []
+        for at, w in same:
+            top = np.argsort(-np.frombuffer(w, np.float32), kind="stable")[:2]
+            heads.append((np.frombuffer(at, np.int32)[top].tolist(), at, w))
+        keys = [h[1:] for h in sorted(heads)]  # like entries come to lie together, which tightens the bounds
+        self.entry = {r: e for e, k in enumerate(keys) for r in same[k]}
         self.n = np.array([len(same[k]) for k in keys], np.float64)
         self.ones = np.array([sum(labels[r] for r in same[k]) for k in keys], np.float64)
         self.ids = [[ids[r] for r in same[k]] for k in keys]
-        self.blocks = -(-len(keys) // BLOCK)
-        post = defaultdict(list)
-        for i, k in enumerate(keys):
-            for t, w in k:
-                post[t].append((i, w))
-        self.postings, self.most = {}, {}
-        for t, p in post.items():
-            at, w = np.array([x for x, _ in p]), np.array([x for _, x in p])
-            cuts = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
-            self.postings[t] = at, w, cuts
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, at // BLOCK, w)
-            self.most[t] = top
-
-    def search(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[int, float]]:
-        """The entries (index, cosine) that hold the ``k`` nearest examples, nearest first, ties by index.
-
-        ``without``: an entry of which one example is not to count, as when that example is the query.
-        """
-        terms = [(t, w) for t, w in query.items() if t in self.postings]
-        if not terms or not self.blocks:
-            return []
-        bound = sum(w * self.most[t] for t, w in terms)
-        found: list[tuple[float, int]] = []
-        least, held = 0.0, 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in terms:
-                at, weight, cuts = self.postings[t]
-                lo, hi = cuts[b], cuts[b + 1]
-                if lo < hi:
-                    score[at[lo:hi] - b * BLOCK] += w * weight[lo:hi]
-            found += [(-score[i], int(b) * BLOCK + int(i)) for i in np.flatnonzero((score > 0) & (score >= least - 1e-12))]
-            found.sort()
-            held, cut = 0.0, len(found)
-            for j, (_, e) in enumerate(found):
-                held += self.n[e] - (e == without)
-                if held >= k:
-                    cut = j + 1
-                    break
-            found = found[:cut]
-            least = -found[-1][0] if held >= k else 0.0
-        return [(e, -s) for s, e in found]
-
-    def vote(self, query: dict[int, float], k: int, without: int | None = None, label: int = 0) -> tuple[float, list[tuple[int, float]]] | None:
-        return self.weigh(self.search(query, k, without), k, without, label)
-
-
-class Whole(Entries):
-    """Exact nearest neighbours by TF-IDF cosine over all words of the examples, for many queries at once.
-
-    Common words are multiplied as a matrix, the others by their postings. What comes within rounding of the k-th best is
-    computed again, in an order that does not depend on the other queries.
-    """
-
-    def __init__(self, counts: Iterable[dict[str, int]], labels: list[int], ids: list[int]):
-        """``counts`` of the words of each example, looked at one by one; those without words are no neighbours."""
-        found: dict[str, int] = {}
-        same: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
-        for row, c in enumerate(counts):
-            if c:
-                at, n = np.array([found.setdefault(w, len(found)) for w in c], np.int32), np.array(list(c.values()), np.int32)
-                order = np.argsort(at)
-                same[at[order].tobytes(), n[order].tobytes()].append(row)
-        self.entry = {r: e for e, rows in enumerate(same.values()) for r in rows}
-        self.n = np.array([len(rows) for rows in same.values()], np.float64)
-        self.ones = np.array([sum(labels[r] for r in rows) for rows in same.values()], np.float64)
-        self.ids = [[ids[r] for r in rows] for rows in same.values()]
-        self.start = np.cumsum([0, *(len(k) // 4 for k, _ in same)])
-        self.word = np.frombuffer(b"".join(k for k, _ in same), np.int32)
-        self.count = np.frombuffer(b"".join(n for _, n in same), np.int32)
-        self.words = " ".join(found)
-        del same, found
-        df = np.bincount(self.word, np.repeat(self.n.astype(np.float32), np.diff(self.start)), self.words.count(" ") + bool(self.words))
-        self.idf = np.log((len(labels) + 1) / (df + 1)) + 1
-        self.unseen = np.log(len(labels) + 1) + 1
-        self.norm = np.array([np.sqrt(np.sum(self._weights(slice(lo, hi)) ** 2)) for lo, hi in zip(self.start, self.start[1:], strict=False)])
+        self.start = np.cumsum([0, *(len(k[0]) // 4 for k in keys)])
+        self.term = np.frombuffer(b"".join(k[0] for k in keys), np.int32)
+        self.weight = np.frombuffer(b"".join(k[1] for k in keys), np.float32)
         self.lists = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"lists": None}
 
-    def _weights(self, places: slice | np.ndarray) -> np.ndarray:
-        return (1 + np.log(self.count[places])) * self.idf[self.word[places]]
-
     def _lists(self) -> tuple:
         """What a search needs and the above tell; not sent to executors, and may be set to None between searches."""
         if self.lists is None:
-            df = np.bincount(self.word, minlength=len(self.idf))
+            df = np.bincount(self.term)
+            blocks = -(-len(self.n) // BLOCK)
             common = np.full(len(df), -1, np.int32)
             chosen = np.flatnonzero(df * COMMON >= len(self.n))
             common[chosen] = np.arange(len(chosen))
+            entry = np.repeat(np.arange(len(self.n), dtype=np.int32), np.diff(self.start))
+            often = common[self.term] >= 0
+            matrix = np.zeros((len(chosen), blocks * BLOCK), np.float32)
+            matrix[common[self.term[often]], entry[often]] = self.weight[often]
+            by = np.argsort(self.term[~often], kind="stable")
             start = np.concatenate([[0], np.cumsum(np.where(common < 0, df, 0))])
-            matrix = np.zeros((len(chosen), len(self.n)), np.float32)
-            rows, weights, upto = np.empty(start[-1], np.int32), np.empty(start[-1], np.float32), start[:-1].copy()
-            for e, (lo, hi) in enumerate(zip(self.start, self.start[1:], strict=False)):
-                w, v = self.word[lo:hi], self._weights(slice(lo, hi)) / self.norm[e]
-                often = common[w] >= 0
-                matrix[common[w[often]], e] = v[often]
-                to = upto[w[~often]]
-                rows[to], weights[to] = e, v[~often]
-                upto[w[~often]] += 1
-            self.lists = {w: i for i, w in enumerate(self.words.split())}, common, matrix, rows, weights, start
+            most = matrix.reshape(len(chosen), blocks, BLOCK).max(axis=2)
+            self.lists = common, matrix, most, entry[~often][by], self.weight[~often][by], start
         return self.lists
 
-    def search(self, queries: list[dict[str, int]], k: int, without: list[int | None] | None = None) -> list[list[tuple[int, float]]]:
-        """For each query the entries (index, cosine) that hold its ``k`` nearest examples, as ``Index.search`` has them."""
-        out: list[list[tuple[int, float]]] = []
+    def search(self, query: dict[int, float] | Sparse, k: int, without: int | None = None) -> list[tuple[int, float]]:
+        """The entries (index, cosine) that hold the ``k`` nearest examples, nearest first, ties by index.
+
+        ``without``: an entry of which one example is not to count, as when that example is the query.
+        """
+        return self.search_all([query], k, [without])[0]
+
+    def search_all(self, queries: list[dict[int, float] | Sparse], k: int, without: list[int | None] | None = None) -> list[list[tuple[int, float]]]:
+        """``search`` of each."""
         if not len(self.n):
             return [[] for _ in queries]
-        known, common, matrix, rows, weights, start = self._lists()
-        dense = np.zeros(len(self.idf))
+        common, matrix, most, rows, weights, start = self._lists()
+        blocks, out = most.shape[1], []
+        dense = np.zeros(len(common))
         for first in range(0, len(queries), QUERIES):
-            vectors = [self._vector(q, known) for q in queries[first : first + QUERIES]]
+            vectors = [(at[at < len(common)], w[at < len(common)]) for at, w in map(sparse, queries[first : first + QUERIES])]
             left = np.zeros((len(vectors), len(matrix)), np.float32)
+            score = np.zeros((len(vectors), blocks * BLOCK), np.float32)
             for i, (at, w) in enumerate(vectors):
-                left[i, common[at[common[at] >= 0]]] = w[common[at] >= 0]
-            for i, (score, (at, w)) in enumerate(zip(left @ matrix, vectors, strict=True)):
-                own = without[first + i] if without else None
                 rare = common[at] < 0
+                left[i, common[at[~rare]]] = w[~rare]
                 places, lengths = _runs(start, at[rare])
-                score = score + np.bincount(rows[places], weights[places] * np.repeat(w[rare], lengths), len(score))
-                m = min(k + 1, len(score))
-                near = np.flatnonzero((score > 0) & (score >= np.partition(score, -m)[-m] - 1e-4))
-                if not len(near):
-                    out.append([])
-                    continue
-                dense[at] = w
-                places, lengths = _runs(self.start, near)
-                cosine = np.round(np.add.reduceat(self._weights(places) * dense[self.word[places]], np.cumsum(lengths) - lengths) / self.norm[near], 9)
-                dense[at] = 0
-                got, held = [], 0.0
-                for j in np.lexsort((near, -cosine)):
-                    got.append((int(near[j]), float(cosine[j])))
-                    held += self.n[near[j]] - (near[j] == own)
-                    if held >= k:
-                        break
-                out.append(got)
+                score[i] = np.bincount(rows[places], weights[places] * np.repeat(w[rare], lengths), blocks * BLOCK)
+            bound = score.reshape(len(vectors), blocks, BLOCK).max(axis=2) + left @ most
+            best, looked = bound.argmax(axis=1), np.zeros(bound.shape, bool)
+            self._look(score, left, matrix, best[:, None] == np.arange(blocks), looked)
+            least = np.zeros(len(vectors), np.float32)
+            for i, b in enumerate(best):
+                there = score[i, b * BLOCK : (b + 1) * BLOCK]
+                if k < BLOCK:
+                    least[i] = np.partition(there, -k - 1)[-k - 1]
+            self._look(score, left, matrix, ~looked & (bound > 0) & (bound >= least[:, None] - _SLACK), looked)
+            for i, (at, w) in enumerate(vectors):
+                own = without[first + i] if without else None
+                got = np.where(np.repeat(looked[i], BLOCK)[: len(self.n)], score[i, : len(self.n)], 0)
+                m = min(k + 1, len(got))
+                near = np.flatnonzero((got > 0) & (got >= np.partition(got, -m)[-m] - _SLACK))
+                out.append(self._nearest(near, at, w, dense, k, own) if len(near) else [])
         return out
 
-    def _vector(self, counts: dict[str, int], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights of the words that examples have; the length counts the others too."""
-        found = sorted((known[w], n) for w, n in counts.items() if w in known)
-        at = np.array([i for i, _ in found], np.int64)
-        w = (1 + np.log(np.array([n for _, n in found], np.float64))) * self.idf[at]
-        others = (1 + np.log(np.array(sorted(n for x, n in counts.items() if x not in known), np.float64))) * self.unseen
-        return at, w / (np.sqrt(w @ w + others @ others) or 1.0)
+    @staticmethod
+    def _look(score: np.ndarray, left: np.ndarray, matrix: np.ndarray, at: np.ndarray, looked: np.ndarray) -> None:
+        """Adds the long lists' part to ``score`` in the blocks that ``at`` (query, block) tells."""
+        for b in np.flatnonzero(at.any(axis=0)):
+            some, here = np.flatnonzero(at[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            score[some, here] += left[some] @ matrix[:, here]
+        looked |= at
+
+    def _nearest(self, near: np.ndarray, at: np.ndarray, w: np.ndarray, dense: np.ndarray, k: int, own: int | None) -> list[tuple[int, float]]:
+        dense[at] = w
+        places, lengths = _runs(self.start, near)
+        cosine = np.round(np.add.reduceat(self.weight[places] * dense[self.term[places]], np.cumsum(lengths) - lengths), 9)
+        dense[at] = 0
+        got, held = [], 0.0
+        for j in np.lexsort((near, -cosine)):
+            if cosine[j] <= 0:
+                break
+            got.append((int(near[j]), float(cosine[j])))
+            held += self.n[near[j]] - (near[j] == own)
+            if held >= k:
+                break
+        return got
 
 
 def _runs(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

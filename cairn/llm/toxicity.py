@@ -1,15 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Learned from at most ``BOUND`` labelled rows. Terms are words and their beginnings of 4 to 6 letters, lower-cased;
-those that tell the labels apart (counted by Spark; ``limits``) span the vectors, with one component more that grows
-with a text's length, so that a term is worth less in a long text. A text without any such term is compared by all its
-words with those of all examples. Votes of the nearest ``K`` are weighted by distance and calibrated, for texts with and
-without such a term apart, by the share of label 1 that examples with such a vote, their own left out, turned out to
-have; a vote above all that examples had counts itself.
+Learned from at most ``BOUND`` labelled rows. Every word of an example, lower-cased, is a term. It weighs its TF-IDF, times ``BASE`` and the strength of its tie to the labels: the phi
+coefficient beyond what chance gives the strongest of so many terms. So all words of all texts span the vectors, and
+those that tell the labels apart span them most. A block-max index finds the nearest ``K`` examples; their votes are weighted by distance and
+calibrated by the share of label 1 that examples with such a vote, their own left out, turned out to have; a vote above
+all that examples had counts itself.
 
 Defined cases: null text counts as empty, and like every text without a word that an example has gets the share of label 1
-among the examples without a chosen term, smoothed towards that among all; without labels of both kinds nothing is
-learned and every score is 0; rows with equal text have equal scores; other columns are ignored.
+among the examples; without labels of both kinds nothing is learned and every score is 0; rows with equal text have
+equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,95 +23,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.learning import labelled, remainder
-from cairn.llm.neighbours import QUERIES, Index, Whole
-from cairn.llm.shared import cut, read
+from cairn.llm.neighbours import QUERIES, Index, Sparse
+from cairn.llm.shared import read
 
 BOUND = 12_000
-CHI = 40.0
 K = 15
-#: Over all words, votes are weighted by this power of the distance, so that a near copy outweighs the K - 1 others.
+#: Votes are weighted by this power of the distance.
 NEAR = 2
-LEVEL = 4.0
-LEAST = 8
+#: Weight of a term without a tie to the labels.
+BASE = 0.05
 CUT = 0.5
-KNOWN = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(word: str) -> list[str]:
-    """A word and its beginnings, as terms. A beginning ends in ``*``."""
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n)]
-
-
 def counted(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
-def limits(n: float, ones: float, vocabulary: int) -> tuple[float, int]:
-    """Least chi-squared and document frequency of a chosen term.
-
-    Chi-squared is at most the number of rows, so in small samples half of that is enough. Terms have to be in so many
-    rows that fewer than one in twenty of the vocabulary's size is in rows of the rarer label alone by chance.
-    """
-    share = min(ones, n - ones) / n
-    return min(CHI, n / 2), min(LEAST, max(2, int(np.ceil(np.log(0.05 / max(vocabulary, 1)) / np.log(share)))))
-
-
 class Model:
-    def __init__(self, idf: dict[str, float], rows: list[tuple[int, int, str, bytes]]):
-        """``rows``: (id, label, words, their counts) of the examples, packed to be small; ``idf`` of the terms chosen."""
-        self.idf = np.array(list(idf.values()))
-        self.term = {t: i for i, t in enumerate(idf)}
-        self.known: dict[str, list[int] | None] = {}
-        got = [(self._vector(_unpacked(r)), r[1], r[0]) for r in rows]
-        self.whole = Whole(map(_unpacked, rows), [r[1] for r in rows], [r[0] for r in rows])
-        alone = [r for r, (v, _, _) in enumerate(got) if not v and r in self.whole.entry]
-        without = [y for v, y, _ in got if not v]
-        ones = sum(r[1] for r in rows)
-        self.rest = (sum(without) + ones / len(rows)) / (len(without) + 1) if 0 < ones < len(rows) else 0.0
-        got = [x for x in got if x[0]]
-        self.index = Index([v for v, _, _ in got], [y for _, y, _ in got], [i for _, _, i in got])
+    def __init__(self, rows: list[tuple[int, int, str, bytes]]):
+        """``rows``: (id, label, words, their counts) of the examples, packed to be small."""
+        n, ones = len(rows), sum(r[1] for r in rows)
+        self.rest = ones / n if 0 < ones < n else 0.0
+        self.term: dict[str, int] = {}
+        if not self.rest:
+            rows = []
+        df, a = Counter(), Counter()
+        for r in rows:
+            here = r[2].split()
+            df.update(here)
+            if r[1]:
+                a.update(here)
+        self.term = {t: i for i, t in enumerate(sorted(df))}
+        of, held = np.array([df[t] for t in self.term], np.float64), np.array([a[t] for t in self.term], np.float64)
+        del df, a
+        chi = n * (held * (n - ones) - (of - held) * ones) ** 2 / np.maximum(of * (n - of) * ones * (n - ones), 1e-9)
+        tie = np.sqrt(np.maximum(0, chi - 2 * np.log(len(of) + 1)) / max(n, 1))
+        self.scale = (np.log((n + 1) / (of + 1)) + 1) * (BASE + tie)
+        self.unseen = (np.log(n + 1) + 1) * BASE
+        vectors = [self._vector(_unpacked(r)) for r in rows]
+        self.index = Index(vectors, [r[1] for r in rows], [r[0] for r in rows])
         votes = []
-        for v, y, _ in got:
-            own = self.index.key_at[tuple(sorted((t, round(w, 9)) for t, w in v.items()))]
-            if (vote := self.index.vote(v, K, own, y)) is not None:
-                votes.append((vote[0], y))
+        for first in range(0, len(rows), QUERIES):
+            some = [r for r in range(first, min(first + QUERIES, len(rows))) if r in self.index.entry]
+            own = [self.index.entry[r] for r in some]
+            for r, e, near in zip(some, own, self.index.search_all([vectors[r] for r in some], K, own), strict=True):
+                if (vote := self.index.weigh(near, K, e, rows[r][1], NEAR)) is not None:
+                    votes.append((vote[0], rows[r][1]))
+        self.index.lists = None
+        self.most = max((v for v, _ in votes), default=0.0)
         self.steps = _isotonic(votes)
-        by_words = []
-        for first in range(0, len(alone), QUERIES):
-            some = alone[first : first + QUERIES]
-            own = [self.whole.entry[r] for r in some]
-            for r, e, near in zip(some, own, self.whole.search([_unpacked(rows[r]) for r in some], K, own), strict=True):
-                if (vote := self.whole.weigh(near, K, e, rows[r][1], NEAR)) is not None:
-                    by_words.append((vote[0], rows[r][1]))
-        self.whole.lists = None
-        self.most = max((v for v, _ in by_words), default=0.0)
-        self.steps_by_words = _isotonic(by_words)
-        self.scored: dict[tuple, tuple] = {}
-
-    def vector(self, text: str | None) -> dict[int, float]:
-        """The unit TF-IDF vector over the chosen terms; empty if the text has none."""
+
+    def vector(self, text: str | None) -> Sparse:
+        """The terms and weights of a text's unit vector; words that no example has count in its length."""
         return self._vector(counted(text))
 
-    def _vector(self, found: dict[str, int]) -> dict[int, float]:
-        tf: Counter = Counter()
-        words = round(max(sum(found.values()), 1), -1) or 5
-        for word, n in found.items():
-            at = self.known.get(word, 0)
-            if at == 0:
-                at = [self.term[t] for t in terms(word) if t in self.term] or None
-                if len(self.known) >= KNOWN:
-                    self.known = {}
-                self.known[word] = at
-            if at:
-                for t in at:
-                    tf[t] += n
-        if not tf:
-            return {}
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in tf.items()}
-        v[-1] = LEVEL * np.log1p(words / 50)
-        norm = np.sqrt(sum(w * w for w in v.values()))
-        return {t: float(w / norm) for t, w in v.items()}
+    def _vector(self, found: dict[str, int]) -> Sparse:
+        got = sorted((self.term[w], n) for w, n in found.items() if w in self.term)
+        others = sorted(n for w, n in found.items() if w not in self.term)
+        at = np.array([t for t, _ in got], np.int64)
+        w = (1 + np.log(np.array([n for _, n in got], np.float64))) * self.scale[at] if got else np.empty(0)
+        rest = (1 + np.log(np.array(others, np.float64))) * self.unseen
+        return at, w / (np.sqrt(w @ w + rest @ rest) or 1.0)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """Calibrated score, and the evidence: (id of an example, cosine), nearest first."""
@@ -120,32 +92,19 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
         """``score`` of each; equal texts are scored once."""
-        out: dict[str | None, tuple[float, list[tuple[int, float]]]] = {}
-        alone: dict[str | None, Counter] = {}
-        for text in dict.fromkeys(texts):
-            found = counted(text)
-            if v := self._vector(found):
-                out[text] = self._by_terms(v)
-            else:
-                alone[text] = found
-        for text, near in zip(alone, self.whole.search(list(alone.values()), K), strict=True):
-            out[text] = self._by_words(near)
+        distinct = list(dict.fromkeys(texts))
+        out = {}
+        for first in range(0, len(distinct), QUERIES):
+            some = distinct[first : first + QUERIES]
+            for text, near in zip(some, self.index.search_all([self.vector(t) for t in some], K), strict=True):
+                out[text] = self._score(near)
         return [out[t] for t in texts]
 
-    def _by_words(self, near: list[tuple[int, float]]) -> tuple[float, list[tuple[int, float]]]:
-        if (vote := self.whole.weigh(near, K, power=NEAR)) is None:
+    def _score(self, near: list[tuple[int, float]]) -> tuple[float, list[tuple[int, float]]]:
+        if (vote := self.index.weigh(near, K, power=NEAR)) is None:
             return self.rest, []
-        share = float(np.interp(vote[0], *self.steps_by_words)) if len(self.steps_by_words[0]) else vote[0]
-        return max(share, vote[0]) if vote[0] > self.most else share, [(i, c) for e, c in near for i in self.whole.ids[e]][:K]
-
-    def _by_terms(self, v: dict[int, float]) -> tuple[float, list[tuple[int, float]]]:
-        key = tuple(sorted((t, round(w, 9)) for t, w in v.items()))
-        if key not in self.scored:
-            if len(self.scored) >= KNOWN // 10:
-                self.scored = {}
-            vote = self.index.vote(v, K)
-            self.scored[key] = (self.rest, []) if vote is None else (float(np.interp(vote[0], *self.steps)) if len(self.steps[0]) else vote[0], [(i, c) for e, c in vote[1] for i in self.index.ids[e]][:K])
-        return self.scored[key]
+        share = float(np.interp(vote[0], *self.steps)) if len(self.steps[0]) else vote[0]
+        return max(share, vote[0]) if vote[0] > self.most else share, [(i, c) for e, c in near for i in self.index.ids[e]][:K]
 
 
 def _isotonic(votes: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,25 +123,8 @@ def _isotonic(votes: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
-    rows = cut(labelled(docs, labels, "toxic", 5, 0, bound))
-    totals = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text, y in zip(b.column("text"), b.column("y").to_pylist(), strict=True):
-                found = sorted({t for w in set(_WORD.findall((text.as_py() or "").lower())) for t in terms(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["term", "y"])
-
-    n, ones = float(totals[0]), float(totals[1])
-    if not n or ones in (0, n):
-        return Model({}, [(r.doc_id, r.y, "", b"") for r in rows.select("doc_id", "y").collect()])
-    found = cut(rows.mapInArrow(each, "term string, y int").groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("a")))
-    least_chi, least = limits(n, ones, found.count())
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    chi = n * F.pow(a * (n - ones) - (df - a) * ones, 2) / (df * (n - df + 1e-9) * ones * (n - ones))
-    best = found.filter((df >= least) & (df < n)).withColumn("chi", chi).filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").collect()
-    idf = {r.term: float(np.log((n + 1) / (r.df + 1)) + 1) for r in best}
-    return Model(idf, sorted((r.doc_id, r.y, r.words, bytes(r.counts)) for r in _packed(rows).collect()))
+    rows = labelled(docs, labels, "toxic", 5, 0, bound)
+    return Model(sorted((r.doc_id, r.y, r.words, bytes(r.counts)) for r in _packed(rows).collect()))
 
 
 def _packed(rows: DataFrame) -> DataFrame:

@@ -522,32 +522,55 @@ def test_toxic_examples_are_nearest_to_themselves(spark):
             assert dict(model.index.search(model.vector(t), 15)).get(at[i]) == pytest.approx(1.0, abs=1e-6)
 
 
-def test_whole_neighbours_are_exact():
+@pytest.mark.parametrize("block, common", [(256, 8), (16, 2), (16, 400)])
+def test_neighbours_over_many_words_are_exact(monkeypatch, block, common):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "COMMON", common)
     r = random.Random(11)
-    counts = [dict(Counter(prose(r, r.randint(1, 40), 60 + i % 3 * 300).split())) for i in range(300)] + [{}]
-    whole = neighbours.Whole(counts + counts[:20], [0] * 321, list(range(321)))
-    queries = counts[:150] + [{"w1": 2, "unseen": 1}, {"unseen": 3}]
-    df = Counter(w for c in counts + counts[:20] for w in c)
-
-    def vector(c):
-        v = {w: (1 + np.log(n)) * (np.log(322 / (df[w] + 1)) + 1) for w, n in c.items()}
-        return {w: x / sum(y * y for y in v.values()) ** 0.5 for w, x in v.items()}
-
-    vectors = [vector(c) for c in counts + counts[:20]]
-    for q, near in zip(queries, whole.search(queries, 10), strict=True):
-        u = vector(q)
-        want = sorted((sum(x * v.get(w, 0) for w, x in u.items()) for v in vectors), reverse=True)[:10]
-        assert np.allclose([c for e, c in near for _ in range(int(whole.n[e]))][:10], [c for c in want if c > 0], atol=1e-8)
-    assert whole.search(queries[7:8], 10) == whole.search(queries, 10)[7:8]
+    texts = [Counter(int(w[1:]) for w in prose(r, r.randint(1, 40), 60 + i % 3 * 300).split()) for i in range(300)]
+    texts += texts[:20]
+    vectors = [{w: n / sum(x * x for x in c.values()) ** 0.5 for w, n in c.items()} for c in texts]
+    index = neighbours.Index([*vectors, {}], [0] * 321, list(range(321)))
+    queries = [*vectors[:150], {1: 0.8, 5000: 0.6}, {5000: 1.0}, {}]
+    for q, near in zip(queries, index.search_all(queries, 10), strict=True):
+        want = sorted((sum(x * v.get(w, 0) for w, x in q.items()) for v in vectors), reverse=True)[:10]
+        assert np.allclose([c for e, c in near for _ in range(int(index.n[e]))][:10], [c for c in want if c > 0], atol=1e-6)
+    assert index.search(queries[7], 10) == index.search_all(queries, 10)[7]
+
+
+def test_toxicity_vectors_have_all_words(spark):
+    r = random.Random(16)
+    letters = str.maketrans("0123456789", "abcdefghij")  # words are of letters
+    texts = [(i, prose(r, r.randint(20, 80)).translate(letters) + (" vile" if i % 4 == 0 else "")) for i in range(200)]
+    model = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    learned = sorted(i for ids in model.index.ids for i in ids)
+    df = Counter(w for i in learned for w in toxicity.counted(texts[i][1]))
+    held = Counter(w for i in learned if i % 4 == 0 for w in toxicity.counted(texts[i][1]))
+    n, ones = len(learned), sum(i % 4 == 0 for i in learned)
+
+    def vector(t):
+        out = {}
+        for w, k in toxicity.counted(t).items():
+            chi = n * (held[w] * (n - ones) - (df[w] - held[w]) * ones) ** 2 / max(df[w] * (n - df[w]) * ones * (n - ones), 1e-9) if df[w] else 0
+            out[w] = (1 + np.log(k)) * (np.log((n + 1) / (df[w] + 1)) + 1) * (toxicity.BASE + np.sqrt(max(0, chi - 2 * np.log(len(df) + 1)) / n))
+        size = sum(x * x for x in out.values()) ** 0.5
+        return {w: x / size for w, x in out.items()}
+
+    for q in (texts[0][1], texts[3][1] + " unseen words", "vile wb", prose(r, 300).translate(letters)):
+        v = vector(q)
+        want = sorted(((sum(x * u.get(w, 0) for w, x in v.items()), -i) for i in learned for u in [vector(texts[i][1])]), reverse=True)
+        score, evidence = model.score(q)
+        assert [c for _, c in evidence] == pytest.approx([c for c, _ in want[: len(evidence)]], abs=1e-5) and len(evidence) >= toxicity.K
+    assert model.score("entirely other")[0] == pytest.approx(ones / n) and model.score("entirely other")[1] == []
 
 
 @pytest.mark.parametrize("n, toxic", [(600, 6), (30, 6)])
-def test_toxicity_of_texts_without_chosen_terms(spark, n, toxic):
+def test_toxicity_of_texts_with_rare_words(spark, n, toxic):
     r = random.Random(12)
     texts = [(i, prose(r, 40) if i >= toxic else " ".join(f"bad{i}x{chr(97 + j)}" for j in range(20)) + " " + prose(r, 20)) for i in range(n)]
     texts = [(i, re.sub(r"[0-9]", lambda m: chr(97 + int(m[0])), t)) for i, t in texts]
     model = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i < toxic)) for i in range(n)], "doc_id long, toxic int"))
-    learned = {i for ids in model.whole.ids for i in ids}
+    learned = {i for ids in model.index.ids for i in ids}
     for i, t in texts[:toxic]:
         if i in learned:
             score, evidence = model.score(t + " also")
