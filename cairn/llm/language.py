@@ -25,34 +25,47 @@ from cairn.llm.recurrent import PIECE, Network, padded
 from cairn.llm.shared import read
 
 BOUND = 400
-TOKENS = 20_000
 KNOWN = 200_000
 FLOOR = 1e-3
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def pieces(token: str) -> list[bytes]:
-    data = token.encode("utf-8", "surrogatepass")
-    return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+    """The bytes of a token, in pieces of whole characters."""
+    data, out, at = token.encode("utf-8", "surrogatepass"), [], 0
+    while at < len(data):
+        end = min(at + PIECE, len(data))
+        while end < len(data) and 128 <= data[end] < 192:
+            end -= 1
+        out.append(data[at:end])
+        at = end
+    return out
 
 
-def train(docs: DataFrame, bound: int = BOUND, tokens: int = TOKENS) -> tuple[list[str], Network | None]:
-    """The languages and the network; at most ``tokens`` distinct tokens of a language are learned, its most frequent.
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lang, text in zip(b.column("lang"), b.column("text"), strict=True):
+            counts = Counter(text.as_py().split())
+            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "token", "n"])
+
+
+def train(docs: DataFrame, bound: int = BOUND) -> tuple[list[str], Network | None]:
+    """The languages and the network, from all tokens of the chosen documents, which executors count.
 
     A token weighs more the more often it is seen, and less in a language that has a small share of it, so texts with a
     wrong label do little harm.
     """
-    rows = by_language(docs, 4, 2, bound).select("lang", "text").collect()
+    found = by_language(docs, 4, 2, bound).select("lang", "text").mapInArrow(_tokens, "lang string, token string, n long")
     counts: dict[str, Counter] = {}
-    for row in rows:
-        counts.setdefault(row.lang, Counter()).update(row.text.split())
+    for row in found.groupBy("lang", "token").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(row.lang, Counter())[row.token] = row.n
     langs = sorted(counts)
     if not langs:
         return [], None
     x, y, weight = [], [], []
     totals = {lang: counts[lang].total() for lang in langs}
     for k, lang in enumerate(langs):
-        for token, n in sorted(counts[lang].items(), key=lambda c: (-c[1], c[0]))[:tokens]:
+        for token, n in sorted(counts[lang].items(), key=lambda c: (-c[1], c[0])):
             every = sum(counts[other].get(token, 0) / totals[other] for other in langs)
             for p in pieces(token):
                 x.append(p), y.append(k), weight.append(n / totals[lang] / every * (1 + np.log(n)))

@@ -28,10 +28,14 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held
 def by_language(docs: DataFrame, modulus: int, held_out: int, bound: int) -> DataFrame:
     """``text, lang`` of at most ``bound`` rows of each language outside the held-out fold, those with the least hashes.
 
-    The limit by rank is applied in each task before the shuffle. Texts come in by a join, after the rows are chosen.
+    A language's rows are first thinned by their hashes to some twice ``bound``, as counted, so that no task ranks a
+    whole language. Texts come in by a join, after the rows are chosen.
     """
     rest = remainder(F.col("doc_id"), modulus)
     rows = docs.filter((rest != held_out) & (rest >= 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= bound)
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (2 * bound + 100) / F.col("n") * (1 << 40)
+    thin = rows.join(small(sizes), "lang").filter(low).select("doc_id", "lang")
+    ranked = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("k") <= bound)
     chosen = cut(ranked.select("doc_id", "lang").distinct())
     return docs.select("doc_id", "text", "lang").join(small(chosen), ["doc_id", "lang"])

@@ -1,6 +1,7 @@
 """A bidirectional gated recurrent network over bytes that labels each position, in numpy.
 
-Sequences are white-space-delimited tokens between two boundary bytes, cut into pieces of ``PIECE`` bytes if longer.
+Sequences are white-space-delimited tokens between two boundary bytes, cut into pieces of ``PIECE`` bytes if longer. What
+pads a sequence to the length of a batch leaves the state at zero, so its outputs don't depend on the batch.
 Inputs are one-hot, so the input product is a row lookup. Training is backpropagation through time with Adam.
 """
 
@@ -34,14 +35,16 @@ class Network:
         u_zr, u_c = np.ascontiguousarray(u[:, : 2 * h_n]), np.ascontiguousarray(u[:, 2 * h_n :])
         h = np.zeros((x.shape[1], h_n), np.float32)
         states, kept = np.empty((*x.shape, h_n), np.float32), []
+        inside = valid(x)
         for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
             a = w[x[t]]
             zr = _sigmoid(a[:, : 2 * h_n] + h @ u_zr)
             z, r = zr[:, :h_n], zr[:, h_n:]
             c = np.tanh(a[:, 2 * h_n :] + (r * h) @ u_c)
             new = h + z * (c - h)
+            new *= inside[t]
             if keep:
-                kept.append((t, h, z, r, c))
+                kept.append((t, h, z, r, c, inside[t]))
             states[t] = h = new
         return states, kept
 
@@ -67,8 +70,8 @@ class Network:
             u = self.weights[f"U{d}"]
             gw, gu = np.zeros_like(self.weights[f"W{d}"]), np.zeros_like(u)
             dh = np.zeros((b_n, h_n), np.float32)
-            for t, h, z, r, c in reversed(kept):
-                dh = dh + up[t, :, d * h_n : (d + 1) * h_n]
+            for t, h, z, r, c, here in reversed(kept):
+                dh = (dh + up[t, :, d * h_n : (d + 1) * h_n]) * here
                 da = np.empty((b_n, 3 * h_n), np.float32)
                 da[:, :h_n] = dh * (c - h) * z * (1 - z)
                 da[:, 2 * h_n :] = dc = dh * z * (1 - c * c)
@@ -104,6 +107,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
+def valid(x: np.ndarray) -> np.ndarray:
+    """1 (time, batch, 1) up to the boundary that ends each sequence of ``x``, 0 in what pads it."""
+    ends = len(x) - (x[::-1] != PAD).argmax(axis=0)  # all sequences have a byte other than PAD
+    return (np.arange(len(x))[:, None] <= ends).astype(np.float32)[:, :, None]
+
+
 def padded(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the tokens between boundaries (time, batch), and 1 where a byte is of a letter, ASCII or not."""
     t = max(map(len, tokens), default=0) + 2

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -404,10 +405,55 @@ def test_language_pooling_does_not_depend_on_memory(monkeypatch):
     net = recurrent.Network(2, hidden=4)
     a, b = language.Pooler(net), language.Pooler(net)
     text = " ".join(f"t{i % 37}" for i in range(200)) + " " + "ü" * 100
-    monkeypatch.setattr(language, "KNOWN", 50)
-    c = language.Pooler(net)
     b.warm([text])
-    assert np.allclose(a.pool(text), b.pool(text), atol=1e-5) and np.allclose(a.pool(text), c.pool(text), atol=1e-5)
+    assert len(b.at) == 38
+    want, warm = a.pool(text), b.pool(text)
+    monkeypatch.setattr(language, "KNOWN", 30)
+    c = language.Pooler(net)
+    assert np.allclose(want, warm, atol=1e-6) and np.allclose(want, c.pool(text), atol=1e-6) and len(c.at) < 38
+
+
+def test_outputs_of_a_token_do_not_depend_on_its_batch():
+    net = recurrent.Network(2)
+    r = random.Random(17)
+    tokens_ = ["".join(r.choice("abcdefg" if k else "mnopqr") for _ in range(r.randint(1, 12))).encode() for k in (0, 1) * 200]
+    net.train(tokens_, np.array([0, 1] * 200), steps=60)
+    alone = net.probabilities(recurrent.padded([b"mop"])[0])
+    for mates in ([b"a"], [b"x" * 30], tokens_[:50]):
+        assert np.allclose(net.probabilities(recurrent.padded([b"mop", *mates])[0])[: len(alone), 0], alone[:, 0], atol=1e-6)
+
+
+def test_pieces_are_whole_characters():
+    for token in ("ü" * 100, "a" + "漢" * 50, "😀" * 20, "x" * 64, "x"):
+        got = language.pieces(token)
+        assert "".join(p.decode() for p in got) == token and all(0 < len(p) <= recurrent.PIECE for p in got)
+
+
+def test_language_held_out_accuracy(spark):
+    r = random.Random(18)
+    parts = {"aa": "ka lo mi tu".split(), "bb": "che gri ston ber".split(), "cc": "ñu éo áx ío".split()}
+    texts = [(i, " ".join("".join(r.choice(parts[k]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(3, 30))), k) for i, k in enumerate(["aa", "bb", "cc"] * 80)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in language.predict(d, *language.train(d, 40)).collect()}
+    assert sum(got[i] == k for i, _, k in texts) >= 0.97 * len(texts)
+
+
+def test_labels_of_the_held_out_fold_and_names_change_no_score(spark, tmp_path):
+    r = random.Random(19)
+    rows_ = [(i, prose(r, r.randint(5, 60)) + (" vile" if i % 7 == 0 else "") + (" ###" * 20 if i % 5 == 0 else ""), "en" if i % 2 else "de", "s") for i in range(300)]
+    labels = [(i, int(i % 5 != 0), int(i % 7 == 0)) for i in range(300)]
+    rest = {i: zlib.crc32(str(i).encode()) for i in range(300)}
+    for name, column, modulus, out in (("op4_quality", 1, 4, 2), ("op6_toxicity", 2, 5, 0), ("op8_language", None, 4, 2)):
+        got = []
+        for turn in (False, True):
+            at = f"{tmp_path}/{name}{turn}"
+            held = lambda i: turn and rest[i] % modulus == out  # noqa: E731, B023
+            lang = lambda i, x: ("de" if x == "en" else "en") if held(i) or (turn and column) else x  # noqa: E731, B023
+            spark.createDataFrame([(i, t, lang(i, x), "other" if turn else s) for i, t, x, s in rows_], "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+            flipped = [(i, 1 - q if held(i) and column == 1 else q, 1 - t if held(i) and column == 2 else t) for i, q, t in labels]
+            spark.createDataFrame(flipped, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+            got.append({x.doc_id: x.score for x in registry.QUERIES[name](spark, at).collect()})
+        assert got[0].keys() == got[1].keys() and all(got[1][i] == pytest.approx(v, abs=1e-5) for i, v in got[0].items()), name
 
 
 def test_neighbours_are_exact():
