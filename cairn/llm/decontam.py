@@ -1,12 +1,13 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``postings`` is the index: (text key, position, term) of training tokens. ``phrase_hits`` intersects offset-adjusted
-lists from the rarest term of each test phrase. A position list need only be intersected where the rarest term's list
-has an entry, so the other terms are looked up beside that entry, in the tokens about it, while the row is at hand: every posting is made and probed, none of the frequent terms' lists is shuffled. ``proximity_hits`` finds all of
-a phrase's terms, in any order, within a given number of words.
+``Postings`` is the index: a row (text key, position, term) for each training token that a test phrase has, written once,
+from one tokenisation of each distinct text. ``phrase_hits`` starts from the list of each phrase's rarest term, adjusted by
+the term's offset, intersects it with the list of the second rarest, and what is left with those of all other terms.
+``proximity_hits`` finds all of a phrase's terms, in any order, within a given number of words of its rarest.
 
-Scale: terms are counted with a partial aggregate over the terms of the test set only; the phrases' table is broadcast
-once its counted rows fit a bound, and is otherwise joined by a shuffle on the term. Only hits are shuffled.
+Scale: postings are made where the text is read and not shuffled; terms are counted with a partial aggregate. Lists are
+intersected by (key, position), which no common term makes hot; the shorter side is broadcast once its summed size fits a
+bound, and is otherwise joined by a shuffle. Copies of a text are indexed once.
 
 Defined cases: null or empty texts and items have no words and hit nothing; an item of under ten words is one phrase;
 an item without an id hits but is not named or counted;
@@ -17,15 +18,15 @@ columns are ignored.
 from __future__ import annotations
 
 import string
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import cut, read, small, text_key
+from cairn.llm.shared import cut, one_of_each, read, scratch, small, text_key
 
 WINDOW = 10
-BLOCK = 64
 #: What lies between words: ASCII other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -46,62 +47,63 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("phrase").agg(F.collect_set("item_id").alias("item_ids"))
 
 
-def postings(docs: DataFrame, reach: int = 0) -> DataFrame:
-    """``key, pos, term``: a row for each token of ``docs`` (text), with its position from 0; the index.
+@dataclass
+class Postings:
+    """``lists``: key, pos, tid. ``phrases``: pid, n (words), item_ids. ``places``: pid, offset, tid, rank (0: the rarest)."""
 
-    With a ``reach``, also ``around`` and ``at``: the tokens of a stretch of the text, at least ``reach`` before and
-    after the token as far as the text goes, and the token's place in it. Stretches hold ``BLOCK`` tokens and what is
-    in reach of them, so a row stays small however long its text is.
-    """
-    held = docs.select(text_key(F.col("text")).alias("key"), tokens(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
-    if not reach:
-        return held.select("key", F.posexplode("ws").alias("pos", "raw")).select("key", "pos", lower_ascii(F.col("raw")).alias("term"))
-    lead = lambda i: F.least(i * BLOCK, F.lit(reach))
-    stretch = lambda i: F.struct((i * BLOCK).alias("base"), lead(i).alias("lead"), F.slice("ws", i * BLOCK - lead(i) + 1, F.lit(BLOCK + reach) + lead(i)).alias("around"))
-    last = F.floor((F.size("ws") - 1) / BLOCK).cast("int")
-    each = held.select("key", F.explode(F.transform(F.sequence(F.lit(0), last), stretch)).alias("x")).select("key", "x.*")
-    rows = each.select("key", "base", "lead", "around", F.posexplode(F.slice("around", F.col("lead") + 1, F.lit(BLOCK))).alias("i", "raw"))
-    return rows.select("key", (F.col("base") + F.col("i")).alias("pos"), lower_ascii(F.col("raw")).alias("term"), "around", (F.col("lead") + F.col("i")).alias("at"))
+    lists: DataFrame
+    phrases: DataFrame
+    places: DataFrame
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, n``: how often the corpus has each of ``terms``."""
-    found = postings(docs).select("term").join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-    return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Postings:
+    """The index of ``docs`` (doc_id, text) for the phrases of ``items``."""
+    ps = cut(phrases(items, window).withColumn("pid", F.monotonically_increasing_id()))
+    each = ps.select("pid", F.posexplode("phrase").alias("offset", "term"))
+    terms = cut(each.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()))
+    one, _ = one_of_each(docs)
+    tokens_ = one.select("key", F.posexplode(tokens(F.col("text"))).alias("pos", "raw")).select("key", "pos", lower_ascii(F.col("raw")).alias("term"))
+    lists = cut(tokens_.join(small(terms), "term").select("key", "pos", "tid"))
+    counted = cut(terms.join(small(cut(lists.groupBy("tid").agg(F.count("*").alias("n")))), "tid", "left").select("tid", "term", F.coalesce("n", F.lit(0)).alias("n")))
+    rank = F.row_number().over(W.partitionBy("pid").orderBy("n", "offset")) - 1
+    places = cut(each.join(small(counted), "term").select("pid", "offset", "tid", rank.alias("rank")))
+    return Postings(lists, cut(ps.select("pid", F.size("phrase").alias("n"), "item_ids")), places)
 
 
-def anchored(ps: DataFrame, counted: DataFrame) -> DataFrame:
-    """``ps`` with its rarest ``term`` and that term's ``offset`` in the phrase."""
-    each = ps.select("phrase", "item_ids", F.posexplode("phrase").alias("offset", "term")).join(counted, "term")
-    first = F.min(F.struct("n", "offset", "term"))
-    return each.groupBy("phrase").agg(F.first("item_ids").alias("item_ids"), first.alias("a")).select("phrase", "item_ids", "a.offset", "a.term")
+def rarest(index: Postings) -> DataFrame:
+    """``pid, key, pos, start``: the places of each phrase's rarest term, and where the phrase would start."""
+    first = cut(index.places.filter("rank = 0").select("pid", "offset", "tid"))
+    return index.lists.join(small(first), "tid").select("pid", "key", "pos", (F.col("pos") - F.col("offset")).alias("start"))
 
 
-def phrase_hits(docs: DataFrame, ps: DataFrame, window: int = WINDOW) -> DataFrame:
+def phrase_hits(docs: DataFrame, index: Postings) -> DataFrame:
     """``key, start, end, item_ids``: each occurrence of a phrase as consecutive words, ``end`` exclusive."""
-    n, start, first = F.size("phrase"), F.col("pos") - F.col("offset"), F.col("at") - F.col("offset")
-    inside = (first >= 0) & (first + n <= F.size("around"))
-    same = F.transform(F.slice("around", F.greatest(first, F.lit(0)) + 1, n), lower_ascii) == F.col("phrase")
-    found = postings(docs, window).join(small(ps), "term").filter(inside).filter(same)
-    return found.select("key", start.alias("start"), (start + n).alias("end"), "item_ids").distinct()
-
-
-def proximity_hits(docs: DataFrame, ps: DataFrame, within: int) -> DataFrame:
-    """``key, start, end, item_ids``: stretches of ``within`` words about a rarest term with all terms of a phrase.
-
-    ``start`` and ``end`` bound the words looked at, the text's limits observed.
+    at = cut(rarest(index).filter("start >= 0").select("pid", "key", "start"))
+    second = cut(index.places.filter("rank = 1").select("pid", "offset", "tid"))
+    alone = at.join(small(index.phrases.filter("n = 1").select("pid")), "pid")
+    want = cut(at.join(small(second), "pid").select("pid", "key", "start", (F.col("start") + F.col("offset")).alias("pos"), "tid"))
+    both = cut(index.lists.join(small(want), ["key", "pos", "tid"]).select("pid", "key", "start"))
+    short = both.join(small(index.phrases.filter("n = 2").select("pid")), "pid")
+    others = cut(index.places.filter("rank > 1").select("pid", "offset", "tid"))
+    want = cut(both.join(small(others), "pid").select("pid", "key", "start", (F.col("start") + F.col("offset")).alias("pos"), "tid"))
+    met = index.lists.join(small(want), ["key", "pos", "tid"]).groupBy("pid", "key", "start").agg(F.count("*").alias("met"))
+    whole = met.join(small(index.phrases.select("pid", "n")), "pid").filter("met = n - 2").select("pid", "key", "start")
+    found = alone.select("pid", "key", "start").unionByName(short.select("pid", "key", "start")).unionByName(whole)
+    return found.join(small(index.phrases), "pid").select("key", "start", (F.col("start") + F.col("n")).alias("end"), "item_ids")
+
+
+def proximity_hits(docs: DataFrame, index: Postings, within: int) -> DataFrame:
+    """``key, start, end, item_ids``: stretches about a rarest term with all terms of a phrase at most ``within`` words from it.
+
+    ``start`` and ``end`` bound the terms found.
     """
-    first = F.greatest(F.lit(0), F.col("at") - within)
-    near = F.transform(F.slice("around", first + 1, F.col("at") - first + within + 1), lower_ascii)
-    found = postings(docs, within).join(small(ps), "term").filter(F.size(F.array_except("phrase", near)) == 0)
-    start = F.col("pos") - F.col("at") + first
-    return found.select("key", start.alias("start"), (F.col("pos") + F.least(F.lit(within + 1), F.size("around") - F.col("at"))).alias("end"), "item_ids").distinct()
-
-
-def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    ps = cut(phrases(items, window))
-    terms = cut(ps.select(F.explode("phrase").alias("term")).distinct())
-    return cut(anchored(ps, term_counts(docs, terms)))
+    distinct = cut(index.places.select("pid", "tid").distinct())
+    terms = distinct.groupBy("pid").agg(F.count("*").alias("terms"))
+    at = cut(rarest(index).select("pid", "key", "pos").distinct().withColumnRenamed("pos", "at").join(small(distinct), "pid"))
+    near = index.lists.join(small(at), ["key", "tid"]).filter(F.abs(F.col("pos") - F.col("at")) <= within)
+    found = near.groupBy("pid", "key", "at").agg(F.count_distinct("tid").alias("met"), F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    whole = found.join(small(cut(terms)), "pid").filter("met = terms")
+    return whole.join(small(index.phrases), "pid").select("key", "start", "end", "item_ids").distinct()
 
 
 def covered(hits: DataFrame) -> DataFrame:
@@ -119,11 +121,12 @@ def covered(hits: DataFrame) -> DataFrame:
 
 def hit_texts(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """What ``covered`` says of the texts of ``docs`` that have any hit."""
-    return cut(covered(cut(phrase_hits(docs, anchors(docs, items, window), window))))
+    with scratch(docs.sparkSession) as s:
+        return s.keep(cut(covered(cut(phrase_hits(docs, anchors(docs, items, window))))))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``n_words, n_hit, items, contaminated``, in place of columns of those names."""
+    """``docs`` (doc_id, text and others) with ``n_words, n_hit, items, contaminated``, in place of columns of those names."""
     docs = docs.drop("n_words", "n_hit", "items", "contaminated", "_cairn_key")
     found = hit_texts(docs, items, window)
     marked = docs.withColumn("n_words", F.size(tokens(F.col("text"))).cast("long")).join(small(found), text_key(F.col("text")) == F.col("_cairn_key"), "left").drop("_cairn_key")
