@@ -6,9 +6,10 @@ its least one, so linear in its size, and the components of those links are the
 MinHash values a few at a time, and a pair is dropped once the posterior probability of its similarity reaching the
 threshold, under a uniform prior, falls below ``TOLERANCE``. Pairs that are left are verified exactly on the sets.
 
-Exact copies are one representative from the start and are never compared. A group of over ``BLOCK`` representatives
-is compared block by block, each pair of blocks a task of its own; tasks return a count of links and one root for each
-document, not pairs.
+Exact copies are one representative from the start: one of them is sketched, and none are compared. A group of over
+``BLOCK`` representatives or ``BLOCK_BYTES`` is compared block by block, each pair of blocks a group of its own, so a
+member is sent once for each block of its own group; tasks return a count of links and one root for each document, not
+pairs.
 
 Defined cases: texts without words, null included, link to nothing and are a class each; a text of under five words
 is one shingle; repeated rows are copies of each other; ``class_id`` is the least doc_id of a class (null if it has
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 
 from cairn.llm.components import components
 from cairn.llm.hashing import groups, mixed, shingles
-from cairn.llm.shared import cut, read, small, text_key
+from cairn.llm.shared import cut, one_of_each, read, scratch, small, text_key
 
 N = 5
 THRESHOLD = 0.8
 TOLERANCE = 1e-9
 BANDS, ROWS = 40, 6
 STEP = 24
-BLOCK = 512
+BLOCK = 1024
+BLOCK_BYTES = 4 << 20
 
 
 def minhash(sets: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
@@ -123,7 +125,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             for column in minhash(s).reshape(BANDS, ROWS).T:
                 h = mixed(h * np.uint64(31) + column)
             bands.append(h.view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["key", "n_shingles", "bands"])
 
 
 def _prepared(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -133,9 +135,17 @@ def _prepared(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), batch.column("component"), batch.column("blocks"), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "copies", "component", "blocks", "sig", "shingles"])
 
 
+def _parts(run: pa.Table) -> Iterator[pa.Table]:
+    """The rows of each pair of blocks in a run of rows of one component, sorted by these."""
+    p, q = run.column("p").to_numpy(), run.column("q").to_numpy()
+    ends = [0, *(np.flatnonzero((p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(p)]
+    for a, z in zip(ends, ends[1:], strict=False):
+        yield run.slice(a, z - a)
+
+
 def _compared(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
     out: dict[str, list] = {"id": [], "links": [], "root": []}
-    for table in groups(batches, "part"):
+    for table in (t for run in groups(batches, "component") for t in _parts(run)):
         ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
         table = table.take(first)
         sigs = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in table.column("sig")])
@@ -172,30 +182,34 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: f
     ``n_links`` counts the other documents, copies included, whose similarity reaches ``threshold``; a class holds
     what links connect. ``key`` names the text, ``class`` the class, null for a text without words.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
-    sketch = cut(keyed.mapInArrow(lambda b: _sketch(b, n), "doc_id long, key string, n_shingles long, bands array<long>"))
-    reps = sketch.filter("n_shingles > 0").groupBy("key").agg(F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))
-    banded = reps.select("id", F.explode("bands").alias("h"))
-    heads = banded.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("h", "head")
-    near = cut(components(banded.join(heads, "h").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))))
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = cut(near.join(sizes, "component").join(reps.select("id", "key", "copies"), "id"))
-    texts = keyed.select("key", "text").join(small(members), "key")
-    ready = texts.select("id", "copies", "component", "blocks", "text").mapInArrow(lambda b: _prepared(b, n), "id long, copies long, component long, blocks long, sig binary, shingles binary")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    ready = ready.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ready = ready.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).withColumn("part", F.xxhash64("component", "p", "q"))
-    dealt = ready.select("part", "p", "q", "block", "id", "copies", "sig", "shingles").repartition("part").sortWithinPartitions("part")
-    found = cut(dealt.mapInArrow(lambda b: _compared(b, threshold, tolerance), "id long, links long, root long"))
-    classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    labelled = cut(reps.select("id", "key", "copies").join(links, "id", "left").join(classes, "id", "left").select("key", F.coalesce("component", "id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    rows = cut(sketch.select("doc_id", "key", "n_shingles").join(labelled, "key", "left"))
-    by = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
-    out = rows.join(by, "class", "left")
-    lone = F.col("n_shingles") == 0
-    return out.select("doc_id", "key", "class", F.when(lone, F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.when(lone, 0).otherwise(F.col("n_links")).alias("n_links"), F.when(lone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
+    with scratch(docs.sparkSession) as held:
+        one, copies = one_of_each(docs)
+        sketch = cut(one.mapInArrow(lambda b: _sketch(b, n), "key string, n_shingles long, bands array<long>"))
+        reps = sketch.join(small(copies.select("key", "copies")), "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+        reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))
+        banded = reps.filter("n_shingles > 0").select("id", F.explode("bands").alias("h"))
+        heads = banded.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("h", "head")
+        near = cut(components(banded.join(heads, "h").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))))
+        near = cut(near.join(reps.select("id", "key", "copies", "n_shingles"), "id"))
+        size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n_shingles") * 8 + 8 * BANDS * ROWS) / BLOCK_BYTES)).cast("long")
+        members = cut(near.join(small(cut(near.groupBy("component").agg(size.alias("blocks")))), "component").select("id", "key", "copies", "component", "blocks"))
+        texts = one.join(small(members), "key")
+        ready = texts.select("id", "copies", "component", "blocks", "text").mapInArrow(lambda b: _prepared(b, n), "id long, copies long, component long, blocks long, sig binary, shingles binary")
+        block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        ready = ready.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        ready = ready.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+        dealt = ready.select("component", "p", "q", "block", "id", "copies", "sig", "shingles").repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+        found = cut(dealt.mapInArrow(lambda b: _compared(b, threshold, tolerance), "id long, links long, root long"))
+        classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        links = found.groupBy("id").agg(F.sum("links").alias("links"))
+        labelled = reps.select("id", "key", "copies", "n_shingles").join(links, "id", "left").join(classes, "id", "left")
+        labelled = cut(labelled.select("key", "n_shingles", F.coalesce("component", "id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        rows = held.keep(cut(keyed.join(small(labelled), "key", "left")))
+        by = held.keep(cut(rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))))
+    out = rows.join(small(by), "class", "left")
+    lone = F.coalesce(F.col("n_shingles"), F.lit(0)) == 0
+    return out.select("doc_id", "key", F.when(~lone, F.col("class")).alias("class"), F.when(lone, F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.when(lone, 0).otherwise(F.col("n_links")).alias("n_links"), F.when(lone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

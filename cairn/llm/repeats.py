@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.hashing import _B, _B_INVERSE, mixed, powers
-from cairn.llm.shared import cut, read, scratch, small, text_key
+from cairn.llm.shared import cut, one_of_each, read, scratch, small, text_key
 from cairn.llm.suffixes import Sorter
 
 LENGTH = 200
@@ -286,14 +286,9 @@ def _level(hold: DataFrame, one: DataFrame, keys: DataFrame, width: int, deeper:
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``key, runs`` (start and end in bytes) of the distinct texts that hold repeated strings, and ``key, copies``."""
-    keyed = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     with scratch(docs.sparkSession) as s:
-        rows = keyed.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
-        copies = s.keep(cut(rows.groupBy("key").agg(F.sum("n").alias("copies"), F.min("doc_id").alias("rep"), F.max("n").alias("most")).filter("copies > 1")))
-        one = keyed.join(small(copies), "key", "left").filter("copies is null or doc_id <=> rep")
-        if not copies.filter("most > 1").isEmpty():  # rows repeated with their id
-            one = one.filter("most is null or most = 1").unionByName(one.filter("most > 1").dropDuplicates(["key"]))
-        one = one.select("key", "text")
+        one, copies = one_of_each(docs)
+        s.keep(copies)
         found = one.mapInArrow(_anchored, "key string, h array<long>, n array<int>")
         found = cut(found.withColumn("id", F.monotonically_increasing_id()))
         each = found.select("id", F.explode(F.arrays_zip("h", "n")).alias("x")).select("id", "x.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import cut, read, small, text_key
+from cairn.llm.shared import cut, read, scratch, small, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 8
@@ -198,9 +198,10 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by its kind, and disclosing terms generalised or removed."""
-    scanned, found = spans(docs.select("doc_id", "text"))
-    base = scanned.filter("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("_cairn_spans"))
-    cuts = cut(base.join(found.select("key", F.col("found").alias("_cairn_found")), "key", "left").withColumnRenamed("key", "_cairn_key"))
+    with scratch(docs.sparkSession) as held:
+        scanned, found = spans(docs.select("doc_id", "text"))
+        base = scanned.filter("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("_cairn_spans"))
+        cuts = held.keep(cut(base.join(found.select("key", F.col("found").alias("_cairn_found")), "key", "left").withColumnRenamed("key", "_cairn_key")))
     joined = docs.join(small(cuts), text_key(F.col("text")) == F.col("_cairn_key"), "left").drop("_cairn_key")
     return joined.mapInArrow(_replaced, docs.schema)
 

@@ -100,3 +100,18 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def text_key(text: Column) -> Column:
     """Names a text by its content; null for null."""
     return F.md5(text)
+
+
+def one_of_each(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, text`` with a row for each text of ``docs`` (doc_id, text) that is not null, and ``key, copies, rep, most`` of those that come twice or more.
+
+    The second is written, the first is lazy. Texts with copies are told by the least id; only rows repeated with their
+    id are shuffled, and those as one row of a text from each task.
+    """
+    keyed = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
+    rows = keyed.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    copies = cut(rows.groupBy("key").agg(F.sum("n").alias("copies"), F.min("doc_id").alias("rep"), F.max("n").alias("most")).filter("copies > 1"))
+    one = keyed.join(small(copies), "key", "left").filter("copies is null or doc_id <=> rep")
+    if not copies.filter("most > 1").isEmpty():
+        one = one.filter("most is null or most = 1").unionByName(one.filter("most > 1").dropDuplicates(["key"]))
+    return one.select("key", "text"), copies

@@ -95,6 +95,34 @@ def test_ngram_join_of_near_copies(spark):
     assert got == {i: (links[i], root[i]) for i in range(60)}
 
 
+def test_ngram_join_loses_no_link_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    sets, has = [shingle_set(t) for _, t in texts], defaultdict(list)
+    links, parent = Counter(), list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for g in s for j in has[g])
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+        for g in s:
+            has[g].append(i)
+    got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.join(docs).collect()}
+    least = {}
+    for i, (d, _) in enumerate(texts):
+        least[find(i)] = min(d, least.get(find(i), d))
+    assert got == {d: (links[i], least[find(i)]) for i, (d, _) in enumerate(texts)} and len(links) > 50
+
+
 def test_pruning_is_a_bound():
     assert ngram_join.least_matches(24, 0.8, 1e-9) < 24 * 0.5
     assert ngram_join.least_matches(240, 0.8, 1e-9) < 240 * 0.75
