@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontam, mixing, ngram_join, sanitise, toxicity
-from cairn.llm.shared import cut, read, small, text_key
+from cairn.llm.shared import cut, read, scratch, small, text_key
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +25,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are no duplicates of each other. Of repeated rows one stays.
     """
-    classes = cut(ngram_join.join(docs))
-    least = classes.filter("class_size > 1").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("least"))
-    gone = classes.filter("class_size > 1").join(least, "class").filter(~F.struct("doc_id", "key").eqNullSafe(F.col("least")))
-    gone = cut(gone.select(F.col("doc_id").alias("_cairn_id"), F.col("key").alias("_cairn_key")).distinct())
-    twice = classes.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    twice = cut(twice.select(F.col("doc_id").alias("_cairn_id"), F.col("key").alias("_cairn_key")))
+    with scratch(spark) as held:
+        classes = cut(ngram_join.join(docs))
+        many = classes.filter("class_size > 1")
+        least = cut(many.groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("least")))
+        gone = many.join(small(least), "class").filter(~F.struct("doc_id", "key").eqNullSafe(F.col("least")))
+        gone = held.keep(cut(gone.select(F.col("doc_id").alias("_cairn_id"), F.col("key").alias("_cairn_key")).distinct()))
+        twice = classes.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        twice = held.keep(cut(twice.select(F.col("doc_id").alias("_cairn_id"), F.col("key").alias("_cairn_key"))))
     mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_cairn_id")) & text_key(F.col("text")).eqNullSafe(F.col("_cairn_key"))
     kept = docs.join(small(gone), mine, "left_anti")
     once = kept.join(small(twice), mine, "left_anti")
@@ -68,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as held:
+            docs = held.keep(cut(stage(spark, docs, sf_dir)))
     return docs
