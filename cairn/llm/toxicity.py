@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Learned from at most ``BOUND`` labelled rows. Every word of an example, lower-cased, is a term. It weighs its TF-IDF, times ``BASE`` and the strength of its tie to the labels: the phi
+Learned from at most ``BOUND`` labelled rows. Every word of an example, lower-cased, is a term, told by
+a 64-bit hash. It weighs its TF-IDF, times ``BASE`` and the strength of its tie to the labels: the phi
 coefficient beyond what chance gives the strongest of so many terms. So all words of all texts span the vectors, and
 those that tell the labels apart span them most. A block-max index finds the nearest ``K`` examples; their votes are weighted by distance and
 calibrated by the share of label 1 that examples with such a vote, their own left out, turned out to have; a vote above
@@ -14,7 +15,6 @@ equal scores; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.hashing import word_hashes
 from cairn.llm.learning import labelled, remainder
 from cairn.llm.neighbours import QUERIES, Index, Sparse
 from cairn.llm.shared import read
@@ -33,58 +34,58 @@ NEAR = 2
 #: Weight of a term without a tie to the labels.
 BASE = 0.05
 CUT = 0.5
-_WORD = re.compile(r"[^\W\d_]+")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
-def counted(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of a text's words, rising, and how often it has each."""
+    return np.unique(word_hashes(_OTHER.sub(" ", (text or "").lower()).encode("utf-8", "surrogatepass")), return_counts=True)
 
 
 class Model:
-    def __init__(self, rows: list[tuple[int, int, str, bytes]]):
-        """``rows``: (id, label, words, their counts) of the examples, packed to be small."""
+    def __init__(self, rows: list[tuple[int, int, bytes, bytes]]):
+        """``rows``: (id, label, hashes of the words, their counts) of the examples."""
         n, ones = len(rows), sum(r[1] for r in rows)
         self.rest = ones / n if 0 < ones < n else 0.0
-        self.term: dict[str, int] = {}
         if not self.rest:
             rows = []
-        df, a = Counter(), Counter()
-        for r in rows:
-            here = r[2].split()
-            df.update(here)
-            if r[1]:
-                a.update(here)
-        self.term = {t: i for i, t in enumerate(sorted(df))}
-        of, held = np.array([df[t] for t in self.term], np.float64), np.array([a[t] for t in self.term], np.float64)
-        del df, a
-        chi = n * (held * (n - ones) - (of - held) * ones) ** 2 / np.maximum(of * (n - of) * ones * (n - ones), 1e-9)
+        start = np.cumsum([0, *(len(r[2]) // 8 for r in rows)])
+        self.terms, at = np.unique(np.frombuffer(b"".join(r[2] for r in rows), np.uint64), return_inverse=True)
+        at = at.astype(np.int32)
+        y = np.array([r[1] for r in rows], np.int64)
+        of, held = np.bincount(at, minlength=len(self.terms)), np.bincount(at, np.repeat(y, np.diff(start)), len(self.terms))
+        chi = n * (held * (n - ones) - (of - held) * ones) ** 2 / np.maximum(of * (n - of) * float(ones * (n - ones)), 1e-9)
         tie = np.sqrt(np.maximum(0, chi - 2 * np.log(len(of) + 1)) / max(n, 1))
         self.scale = (np.log((n + 1) / (of + 1)) + 1) * (BASE + tie)
         self.unseen = (np.log(n + 1) + 1) * BASE
-        vectors = [self._vector(_unpacked(r)) for r in rows]
-        self.index = Index(vectors, [r[1] for r in rows], [r[0] for r in rows])
+        weight = ((1 + np.log(np.frombuffer(b"".join(r[3] for r in rows), np.int32))) * self.scale[at]).astype(np.float32)
+        ids = [r[0] for r in rows]
+        del rows
+        for lo, hi in zip(start, start[1:], strict=False):
+            weight[lo:hi] /= np.sqrt(weight[lo:hi] @ weight[lo:hi]) or 1.0
+        vector = lambda r: (at[start[r] : start[r + 1]], weight[start[r] : start[r + 1]])
+        self.index = Index(map(vector, range(len(y))), y.tolist(), ids)
         votes = []
-        for first in range(0, len(rows), QUERIES):
-            some = [r for r in range(first, min(first + QUERIES, len(rows))) if r in self.index.entry]
+        for first in range(0, len(y), QUERIES):
+            some = [r for r in range(first, min(first + QUERIES, len(y))) if r in self.index.entry]
             own = [self.index.entry[r] for r in some]
-            for r, e, near in zip(some, own, self.index.search_all([vectors[r] for r in some], K, own), strict=True):
-                if (vote := self.index.weigh(near, K, e, rows[r][1], NEAR)) is not None:
-                    votes.append((vote[0], rows[r][1]))
+            for r, e, near in zip(some, own, self.index.search_all([vector(r) for r in some], K, own), strict=True):
+                if (vote := self.index.weigh(near, K, e, int(y[r]), NEAR)) is not None:
+                    votes.append((vote[0], int(y[r])))
         self.index.lists = None
         self.most = max((v for v, _ in votes), default=0.0)
         self.steps = _isotonic(votes)
 
     def vector(self, text: str | None) -> Sparse:
         """The terms and weights of a text's unit vector; words that no example has count in its length."""
-        return self._vector(counted(text))
-
-    def _vector(self, found: dict[str, int]) -> Sparse:
-        got = sorted((self.term[w], n) for w, n in found.items() if w in self.term)
-        others = sorted(n for w, n in found.items() if w not in self.term)
-        at = np.array([t for t, _ in got], np.int64)
-        w = (1 + np.log(np.array([n for _, n in got], np.float64))) * self.scale[at] if got else np.empty(0)
-        rest = (1 + np.log(np.array(others, np.float64))) * self.unseen
-        return at, w / (np.sqrt(w @ w + rest @ rest) or 1.0)
+        found, n = counted(text)
+        at = np.searchsorted(self.terms, found)
+        known = np.zeros(len(found), bool)
+        inside = at < len(self.terms)
+        known[inside] = self.terms[at[inside]] == found[inside]
+        tf = 1 + np.log(n)
+        w = tf[known] * self.scale[at[known]]
+        return at[known], w / (np.sqrt(w @ w + (tf[~known] ** 2).sum() * self.unseen**2) or 1.0)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """Calibrated score, and the evidence: (id of an example, cosine), nearest first."""
@@ -123,24 +124,15 @@ def _isotonic(votes: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
-    rows = labelled(docs, labels, "toxic", 5, 0, bound)
-    return Model(sorted((r.doc_id, r.y, r.words, bytes(r.counts)) for r in _packed(rows).collect()))
-
-
-def _packed(rows: DataFrame) -> DataFrame:
-    """The examples as their words, in order, and the counts of these as 32-bit integers."""
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(counted(t.as_py()).items()) for t in b.column("text")]
-            words, counts = [" ".join(w for w, _ in f) for f in found], [np.array([n for _, n in f], np.int32).tobytes() for f in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(words, pa.string()), pa.array(counts, pa.binary())], ["doc_id", "y", "words", "counts"])
-
-    return rows.select("doc_id", "y", "text").mapInArrow(each, "doc_id long, y int, words string, counts binary")
-
+            found = [counted(t.as_py()) for t in b.column("text")]
+            packed = [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in ([h for h, _ in found], [n.astype(np.int32) for _, n in found])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *packed], ["doc_id", "y", "words", "counts"])
 
-def _unpacked(row: tuple[int, int, str, bytes]) -> dict[str, int]:
-    return dict(zip(row[2].split(), np.frombuffer(row[3], np.int32).tolist(), strict=True))
+    rows = labelled(docs, labels, "toxic", 5, 0, bound).select("doc_id", "y", "text")
+    found = rows.mapInArrow(each, "doc_id long, y int, words binary, counts binary").toArrow().to_pydict()
+    return Model(sorted(zip(*found.values(), strict=True)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

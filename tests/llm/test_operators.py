@@ -617,14 +617,15 @@ def test_toxicity_vectors_have_all_words(spark):
     letters = str.maketrans("0123456789", "abcdefghij")  # words are of letters
     texts = [(i, prose(r, r.randint(20, 80)).translate(letters) + (" vile" if i % 4 == 0 else "")) for i in range(200)]
     model = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    counted = lambda t: Counter(re.findall(r"[^\W\d_]+", t.lower()))
     learned = sorted(i for ids in model.index.ids for i in ids)
-    df = Counter(w for i in learned for w in toxicity.counted(texts[i][1]))
-    held = Counter(w for i in learned if i % 4 == 0 for w in toxicity.counted(texts[i][1]))
+    df = Counter(w for i in learned for w in counted(texts[i][1]))
+    held = Counter(w for i in learned if i % 4 == 0 for w in counted(texts[i][1]))
     n, ones = len(learned), sum(i % 4 == 0 for i in learned)
 
     def vector(t):
         out = {}
-        for w, k in toxicity.counted(t).items():
+        for w, k in counted(t).items():
             chi = n * (held[w] * (n - ones) - (df[w] - held[w]) * ones) ** 2 / max(df[w] * (n - df[w]) * ones * (n - ones), 1e-9) if df[w] else 0
             out[w] = (1 + np.log(k)) * (np.log((n + 1) / (df[w] + 1)) + 1) * (toxicity.BASE + np.sqrt(max(0, chi - 2 * np.log(len(df) + 1)) / n))
         size = sum(x * x for x in out.values()) ** 0.5
