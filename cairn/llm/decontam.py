@@ -1,13 +1,14 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``Postings`` is the index: a row (text key, position, term) for each training token that a test phrase has, written once,
-from one tokenisation of each distinct text. ``phrase_hits`` starts from the list of each phrase's rarest term, adjusted by
-the term's offset, intersects it with the list of the second rarest, and what is left with those of all other terms.
-``proximity_hits`` finds all of a phrase's terms, in any order, within a given number of words of its rarest.
+``Postings`` is the index: a row (text key, position, term, hash of the next term) for each training token that a test
+phrase has, written once, from one tokenisation of each distinct text. ``phrase_hits`` starts from the list of each
+phrase's rarest term that has a successor in the phrase, keeps the places where that follows, and intersects their
+offset-adjusted list with those of all other terms. ``proximity_hits`` finds all of a phrase's terms, in any order, within
+a given number of words of that term.
 
 Scale: postings are made where the text is read and not shuffled; terms are counted with a partial aggregate. Lists are
-intersected by (key, position), which no common term makes hot; the shorter side is broadcast once its summed size fits a
-bound, and is otherwise joined by a shuffle. Copies of a text are indexed once.
+intersected by (key, position), which no common term makes hot, and only those of texts that have a place left. The
+shorter side is broadcast once its summed size fits a bound, and is otherwise joined by a shuffle. Copies of a text are indexed once.
 
 Defined cases: null or empty texts and items have no words and hit nothing; an item of under ten words is one phrase;
 an item without an id hits but is not named or counted;
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import cut, one_of_each, read, scratch, small, text_key
+from cairn.llm.shared import cut, let, one_of_each, read, scratch, small, text_key
 
 WINDOW = 10
 #: What lies between words: ASCII other than digits and letters.
@@ -47,9 +48,15 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("phrase").agg(F.collect_set("item_id").alias("item_ids"))
 
 
+def followed(ws: Column) -> Column:
+    """Each of ``ws`` as ``term``, and as ``next`` a hash of the one after it; null for the last."""
+    after = lambda w, i: F.when(i < F.size(w) - 1, F.hash(F.get(w, i + 1)))
+    return let(ws, lambda w: F.transform(w, lambda x, i: F.struct(x.alias("term"), after(w, i).alias("next"))))
+
+
 @dataclass
 class Postings:
-    """``lists``: key, pos, tid. ``phrases``: pid, n (words), item_ids. ``places``: pid, offset, tid, rank (0: the rarest)."""
+    """``lists``: key, pos, tid, next. ``phrases``: pid, n (words), item_ids. ``places``: pid, offset, tid, next, rank (0: the start)."""
 
     lists: DataFrame
     phrases: DataFrame
@@ -59,37 +66,36 @@ class Postings:
 def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Postings:
     """The index of ``docs`` (doc_id, text) for the phrases of ``items``."""
     ps = cut(phrases(items, window).withColumn("pid", F.monotonically_increasing_id()))
-    each = ps.select("pid", F.posexplode("phrase").alias("offset", "term"))
+    each = ps.select("pid", F.posexplode(followed(F.col("phrase"))).alias("offset", "x")).select("pid", "offset", "x.*")
     terms = cut(each.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()))
     one, _ = one_of_each(docs)
-    tokens_ = one.select("key", F.posexplode(tokens(F.col("text"))).alias("pos", "raw")).select("key", "pos", lower_ascii(F.col("raw")).alias("term"))
-    lists = cut(tokens_.join(small(terms), "term").select("key", "pos", "tid"))
+    tokens_ = one.select("key", F.posexplode(followed(F.transform(tokens(F.col("text")), lower_ascii))).alias("pos", "x")).select("key", "pos", "x.*")
+    lists = cut(tokens_.join(small(terms), "term").select("key", "pos", "tid", "next"))
     counted = cut(terms.join(small(cut(lists.groupBy("tid").agg(F.count("*").alias("n")))), "tid", "left").select("tid", "term", F.coalesce("n", F.lit(0)).alias("n")))
-    rank = F.row_number().over(W.partitionBy("pid").orderBy("n", "offset")) - 1
-    places = cut(each.join(small(counted), "term").select("pid", "offset", "tid", rank.alias("rank")))
+    rank = F.row_number().over(W.partitionBy("pid").orderBy(F.col("next").isNull(), "n", "offset")) - 1
+    places = cut(each.join(small(counted), "term").select("pid", "offset", "tid", "next", rank.alias("rank")))
     return Postings(lists, cut(ps.select("pid", F.size("phrase").alias("n"), "item_ids")), places)
 
 
 def rarest(index: Postings) -> DataFrame:
-    """``pid, key, pos, start``: the places of each phrase's rarest term, and where the phrase would start."""
-    first = cut(index.places.filter("rank = 0").select("pid", "offset", "tid"))
-    return index.lists.join(small(first), "tid").select("pid", "key", "pos", (F.col("pos") - F.col("offset")).alias("start"))
+    """``pid, key, pos, start, next, follows``: the places of the term that each phrase starts from, where the phrase would
+    start, and the hashes of what follows and should follow."""
+    first = cut(index.places.filter("rank = 0").select("pid", "offset", "tid", F.col("next").alias("follows")))
+    return index.lists.join(small(first), "tid").select("pid", "key", "pos", (F.col("pos") - F.col("offset")).alias("start"), "next", "follows")
 
 
 def phrase_hits(docs: DataFrame, index: Postings) -> DataFrame:
     """``key, start, end, item_ids``: each occurrence of a phrase as consecutive words, ``end`` exclusive."""
-    at = cut(rarest(index).filter("start >= 0").select("pid", "key", "start"))
-    second = cut(index.places.filter("rank = 1").select("pid", "offset", "tid"))
-    alone = at.join(small(index.phrases.filter("n = 1").select("pid")), "pid")
-    want = cut(at.join(small(second), "pid").select("pid", "key", "start", (F.col("start") + F.col("offset")).alias("pos"), "tid"))
-    both = cut(index.lists.join(small(want), ["key", "pos", "tid"]).select("pid", "key", "start"))
-    short = both.join(small(index.phrases.filter("n = 2").select("pid")), "pid")
-    others = cut(index.places.filter("rank > 1").select("pid", "offset", "tid"))
-    want = cut(both.join(small(others), "pid").select("pid", "key", "start", (F.col("start") + F.col("offset")).alias("pos"), "tid"))
-    met = index.lists.join(small(want), ["key", "pos", "tid"]).groupBy("pid", "key", "start").agg(F.count("*").alias("met"))
-    whole = met.join(small(index.phrases.select("pid", "n")), "pid").filter("met = n - 2").select("pid", "key", "start")
-    found = alone.select("pid", "key", "start").unionByName(short.select("pid", "key", "start")).unionByName(whole)
-    return found.join(small(index.phrases), "pid").select("key", "start", (F.col("start") + F.col("n")).alias("end"), "item_ids")
+    at = cut(rarest(index).filter("start >= 0 and (follows is null or next = follows)").select("pid", "key", "start"))
+    texts = cut(at.select("key").distinct())
+    others = cut(index.places.filter("rank > 0").select("pid", "offset", "tid"))
+    want = cut(at.join(small(others), "pid").select("pid", "key", "start", (F.col("start") + F.col("offset")).alias("pos"), "tid"))
+    lists = index.lists.select("key", "pos", "tid").join(small(texts), "key")
+    met = lists.join(small(want), ["key", "pos", "tid"]).groupBy("pid", "key", "start").agg(F.count("*").alias("met"))
+    phrases_ = small(index.phrases)
+    alone = at.join(phrases_, "pid").filter("n = 1")
+    whole = met.join(phrases_, "pid").filter("met = n - 1").drop("met")
+    return alone.unionByName(whole).select("key", "start", (F.col("start") + F.col("n")).alias("end"), "item_ids")
 
 
 def proximity_hits(docs: DataFrame, index: Postings, within: int) -> DataFrame:
