@@ -36,10 +36,11 @@ def walk(children: DataFrame, root: DataFrame, limit: int) -> DataFrame:
 def rebuilt_links(members: DataFrame, entries: DataFrame, directories: int) -> DataFrame:
     """``inode, parent_entry, self_entry`` of each directory, from which entries name it; the root has 0 and 0.
 
-    ``members``: parent, entry; ``entries``: entry, inode. The first naming entry wins.
+    ``members``: parent, entry; ``entries``: entry, inode. The first naming entry, 0 only for want of another, and the
+    last parent win.
     """
     named = members.join(entries.filter((F.col("inode") > 0) & (F.col("inode") < directories)), "entry")
-    own = named.groupBy("inode").agg(F.min("entry").alias("self_entry"), F.min_by("parent", "entry").alias("parent"))
+    own = named.groupBy("inode").agg(F.coalesce(F.min(F.when(F.col("entry") > 0, F.col("entry"))), F.lit(0).cast("long")).alias("self_entry"), F.max("parent").alias("parent"))
     above = own.select(F.col("inode").alias("parent"), F.col("self_entry").alias("parent_entry"))
     links = own.join(above, "parent", "left").select("inode", F.coalesce("parent_entry", F.lit(0)).cast("long").alias("parent_entry"), "self_entry")
     root = entries.sparkSession.range(1).select(F.col("id").alias("inode"), F.lit(0).cast("long").alias("parent_entry"), F.lit(0).cast("long").alias("self_entry"))

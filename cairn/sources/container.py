@@ -116,16 +116,12 @@ class Image:
         return cls(MemorySource(data))
 
     def _walk(self) -> list[Section]:
+        """The sections up to the end of the source, where the last one has to end; what follows an image needs a window."""
         out, at, end = [], self.base, self.source.size
         while at < end:
             if end - at < HEADER_LEN:
-                if out and self.source.read(at, min(len(MAGIC), end - at)) != MAGIC[: end - at]:
-                    break  # trailing bytes that are no section
                 raise TruncatedHeader(f"{end - at} bytes at {at}")
-            data = self.source.read(at, HEADER_LEN)
-            if out and data[: len(MAGIC)] != MAGIC:
-                break
-            header = parse_header(data)
+            header = parse_header(self.source.read(at, HEADER_LEN))
             if at + header.section_len > end:
                 raise TruncatedSection(f"section {len(out)} at {at} ends past {end}")
             out.append(Section(len(out), at, header))
@@ -163,11 +159,16 @@ class Image:
             raise CorruptSectionIndex("its last entry is not itself")
         return entries
 
-    def xxh3_ok(self, s: Section) -> bool:
-        return xxh3_64(self.section_bytes(s)[XXH_FROM:]) == s.header.xxh3
+    def indexed(self, kind: int) -> int | None:
+        """The offset from the base that the index has for the first section of a type; None if it has none."""
+        return next((at for k, at in self.index() or [] if k == kind), None)
 
-    def sha_ok(self, s: Section) -> bool:
-        return hashlib.new("sha512_256", self.section_bytes(s)[SHA_FROM:]).digest() == s.header.sha512_256
+    def xxh3_ok(self, s: Section, data: bytes | None = None) -> bool:
+        """``data``: the section's bytes, where they have been read."""
+        return xxh3_64((self.section_bytes(s) if data is None else data)[XXH_FROM:]) == s.header.xxh3
+
+    def sha_ok(self, s: Section, data: bytes | None = None) -> bool:
+        return hashlib.new("sha512_256", (self.section_bytes(s) if data is None else data)[SHA_FROM:]).digest() == s.header.sha512_256
 
     def verify(self, s: Section) -> None:
         """Raises unless both hashes hold."""

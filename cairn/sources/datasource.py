@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from cairn.errors import ImageError, SourceError
 from cairn.sources import codecs, container, history
-from cairn.sources.container import Image, Section
+from cairn.sources.container import HEADER_LEN, Image, Section
 from cairn.sources.metadata import INTEGERS, ROOT, STRINGS, STRUCTS, Metadata
 
 ROWS = 1 << 20
@@ -118,11 +118,15 @@ class ImageReader(DataSourceReader):
         if self.table == "blocks":
             data = image.decompressed(s, cap)
             return n, len(data), data
-        xxh, sha, error = image.xxh3_ok(s), image.sha_ok(s), None
+        level, whole = self.options.get("level", "decode"), image.section_bytes(s)
+        xxh, error = image.xxh3_ok(s, whole), None
+        sha = image.sha_ok(s, whole) if level != "quick" else None
+        if level != "decode":
+            return n, s.header.number, xxh, sha, None, None
         try:
             if not xxh:
                 raise ImageError("xxh3")
-            codecs.decompress(s.header.compression, image.payload(s), 1 << 30)
+            codecs.decompress(s.header.compression, whole[HEADER_LEN:], 1 << 30)
         except ImageError as e:
             error = f"{type(e).__name__}: {e}"
         return n, s.header.number, xxh, sha, error is None, error

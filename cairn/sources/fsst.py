@@ -24,11 +24,9 @@ class Symbols:
         counts = list(data[9:17])
         self.table: list[bytes | None] = [None] * 255
         at, code = 17, 0
-        if self.zero_terminated:
-            self.table[0], code = b"\0", 1
-            if not counts[0]:
-                raise DecodeError("symbol table: no terminator")
-            counts[0] -= 1
+        if self.zero_terminated:  # code 0 is the empty string, which no text has
+            code = 1
+            counts[0] = max(0, counts[0] - 1)
         for length in (2, 3, 4, 5, 6, 7, 8, 1):
             for _ in range(counts[length - 1]):
                 if code >= 255 or at + length > len(data):

@@ -88,15 +88,36 @@ def test_bit_flips_are_found():
         data = bytearray(IMAGE)
         data[i * (size - 1) // 63] ^= 1 << (i % 8)
         try:
-            image = Image.from_bytes(bytes(data))
-            if image.base == 0 and len(image.sections) == len(Image.from_bytes(IMAGE).sections):
-                for s in image.sections:
-                    image.verify(s)
-                pytest.fail(f"flip {i} went unseen")
+            image = Image(MemorySource(bytes(data)), 0)
+            for s in image.sections:
+                image.verify(s)
+            pytest.fail(f"flip {i} went unseen")
         except errors.ImageError:
             pass
 
 
+def test_a_flip_in_any_magic_is_an_error():
+    for s in Image.from_bytes(IMAGE).sections:
+        data = bytearray(IMAGE)
+        data[s.offset] ^= 1
+        with pytest.raises(errors.ImageError):
+            Image(MemorySource(bytes(data)), 0)
+
+
+def test_trailing_bytes_need_a_window():
+    for tail in (b"x", b"y" * 200):
+        with pytest.raises(errors.ImageError):
+            Image.from_bytes(IMAGE + tail)
+        assert len(Image(WindowedSource(MemorySource(IMAGE + tail), 0, len(IMAGE))).sections) == len(Image.from_bytes(IMAGE).sections)
+
+
+def test_index_finds_the_first_section_of_a_type():
+    image = Image.from_bytes(IMAGE)
+    for kind in {s.header.kind for s in image.sections}:
+        assert image.indexed(kind) == image.find(kind).offset - image.base
+    assert image.indexed(12345) is None
+
+
 def test_corrupt_index():
     data = builder.join([(0, 0, b"x"), (9, 0, struct.pack("<2Q", 9 << 48 | 5, 9 << 48 | 5))], index=False)
     with pytest.raises(errors.CorruptSectionIndex):

@@ -103,6 +103,9 @@ def test_lookup_many(frame, spark):
 
 def test_verify_and_groups(frame):
     assert frame.verified(deep=True).first().ok
+    quick = frame.verify("quick").first()
+    assert quick.xxh3_ok and quick.sha_ok is None and quick.decodes is None
+    assert frame.verify().first().decodes
     shared = frame.content_groups().filter("files > 1").collect()
     assert [(r.files, r.size) for r in shared] == [(2, 12)]
 
