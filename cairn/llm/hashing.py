@@ -54,20 +54,21 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The runs of rows with equal ``key``, from batches whose rows come sorted by it. Holds one run and one batch."""
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The runs of rows with equal ``keys``, from batches whose rows come sorted by them. Holds one run and one batch."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
+        k = np.stack([batch.column(key).to_numpy(zero_copy_only=False) for key in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), k.shape[1]]
         for a, z in zip(cuts, cuts[1:], strict=False):
-            if held and k[a] != last:
+            mine = k[:, a].tolist()
+            if held and mine != last:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, z - a))
-            last = k[a]
+            last = mine
     if held:
         yield pa.Table.from_batches(held)

@@ -38,6 +38,8 @@ BANDS, ROWS = 40, 6
 STEP = 24
 BLOCK = 1024
 BLOCK_BYTES = 4 << 20
+#: Texts whose sets are held at once.
+SLICE = 256
 
 
 def minhash(sets: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
@@ -129,23 +131,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 
 def _prepared(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         sets = [shingles(t.as_py(), n) for t in batch.column("text")]
         sigs = [minhash(s).tobytes() for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), batch.column("component"), batch.column("blocks"), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "copies", "component", "blocks", "sig", "shingles"])
 
 
-def _parts(run: pa.Table) -> Iterator[pa.Table]:
-    """The rows of each pair of blocks in a run of rows of one component, sorted by these."""
-    p, q = run.column("p").to_numpy(), run.column("q").to_numpy()
-    ends = [0, *(np.flatnonzero((p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(p)]
-    for a, z in zip(ends, ends[1:], strict=False):
-        yield run.slice(a, z - a)
-
-
 def _compared(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
     out: dict[str, list] = {"id": [], "links": [], "root": []}
-    for table in (t for run in groups(batches, "component") for t in _parts(run)):
+    for table in groups(batches, "component", "p", "q"):
         ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
         table = table.take(first)
         sigs = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in table.column("sig")])

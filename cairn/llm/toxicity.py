@@ -34,6 +34,8 @@ NEAR = 2
 #: Weight of a term without a tie to the labels.
 BASE = 0.05
 CUT = 0.5
+#: Texts scored at once.
+SLICE = 512
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -142,7 +144,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             got = model.scores(b.column("text").to_pylist())
             evidence = [[{"doc_id": i, "cosine": c} for i, c in e] for _, e in got]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)], [*b.schema.names, "score", "evidence"])
@@ -154,7 +156,7 @@ def kept(docs: DataFrame, model: Model, at: float = CUT) -> DataFrame:
     """The rows of ``docs`` with a score below ``at``, as they are."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             yield b.filter(pa.array([s < at for s, _ in model.scores(b.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
