@@ -8,18 +8,24 @@ once for each folder of tables and variant.
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
+import tarfile
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.fixtures import builder
 from cairn.functions import columns as fn
 from cairn.operators import joins, tree, windows
-from cairn.plans.cut import shared_dir
+from cairn.plans.cut import cut, shared_dir
 from cairn.plans.image import ImageFrame
+from cairn.sinks import export, extract
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -164,27 +170,58 @@ def timestamps(spark: SparkSession, d: str) -> DataFrame:
 
 # --- an image of the documents
 
-VARIANTS = {"plain": {}, "packed": {"packed": True, "codec": "zstd", "metadata_codec": "zstd", "fsst": True}, "links": {"codec": "lz4"}}
+VARIANTS = {
+    "plain": {}, "packed": {"packed": True, "codec": "zstd", "metadata_codec": "zstd", "fsst": True}, "links": {"codec": "lz4"},
+    "lzma": {"codec": "lzma", "metadata_codec": "lzma", "aligned": True}, "lz4": {"codec": "lz4", "metadata_codec": "lz4hc", "compact": False, "index": False},
+    "brotli": {"codec": "brotli", "metadata_codec": "brotli", "packed": True, "prefix": b"#!/bin/sh\n" * 20000},
+    "small": {"block_size": 1 << 14, "codec": "zstd", "categories": ["text", "audio", "text", "other"], "minor": 6},
+    "special": {"times": (1, 2, 3), "resolution": 10, "uid": 1234, "gid": 77}, "large_holes": {"packed": True, "fsst": True, "large_holes": True},
+}
 
 
-@functools.cache
-def _image(at: str, d: str, variant: str) -> str:
-    """Path of the image; built on the driver, as images are made by other programs on one machine."""
-    spark = SparkSession.active()
+def _folder(spark: SparkSession) -> str:
+    """The shared folder as a path: images and what is extracted from them are files that executors open too."""
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"the queries on images need a shared folder that can be mounted, not {folder}")
+    os.makedirs(unquote(folder), exist_ok=True)
+    return unquote(folder)
+
+
+def _documents_tree(spark: SparkSession, d: str, chats: bool) -> dict:
     tree_: dict = {}
     for r in _read(spark, d, "documents").select("doc_id", "text", "lang", "source").orderBy("doc_id").toLocalIterator():
         tree_.setdefault(r.lang or "none", {}).setdefault(r.source or "none", {})[f"{r.doc_id}.txt"] = (r.text or "").encode()
-    if variant == "links":
-        chats = tree_.setdefault("chats", {})
+    if chats:
+        into = tree_.setdefault("chats", {})
         for r in _read(spark, d, "conversations").select("conv_id", "turn", "role").orderBy("conv_id", "turn").toLocalIterator():
-            chats[f"{r.conv_id}-{r.turn}"] = builder.Link(f"../{r.role}/{r.conv_id}".encode())
-    folder = at.removeprefix("file://").removeprefix("file:")
-    if "://" in folder:
-        folder = tempfile.gettempdir()
-    os.makedirs(folder, exist_ok=True)
-    handle, path = tempfile.mkstemp(suffix=f"-{variant}.img", dir=unquote(folder))
+            into[f"{r.conv_id}-{r.turn}"] = builder.Link(f"../{r.role}/{r.conv_id}".encode())
+    return tree_
+
+
+def _special_tree(spark: SparkSession, d: str) -> dict:
+    """A device for each supplier, a file with two holes for each part, a file for each region with a hard link and a pipe for each of its nations."""
+    out: dict = {"dev": {}, "holes": {}, "links": {}, "pipes": {}, "regions": {}}
+    for r in _read(spark, d, "supplier").select("s_suppkey", "s_nationkey").toLocalIterator():
+        out["dev"][f"s{r.s_suppkey}"] = builder.Device(r.s_nationkey << 32 | r.s_suppkey, r.s_suppkey % 2 == 0)
+    for r in _read(spark, d, "part").select("p_partkey", "p_size").toLocalIterator():
+        out["holes"][f"p{r.p_partkey}"] = builder.Holes((r.p_size * 1000, f"mid{r.p_partkey}".encode(), 1 + r.p_partkey % 7 * 100))
+    for r in _read(spark, d, "region").toLocalIterator():
+        out["regions"][f"r{r.r_regionkey}"] = r.r_name.encode()
+    for r in _read(spark, d, "nation").toLocalIterator():
+        out["links"][f"n{r.n_nationkey}"] = builder.Same(f"/regions/r{r.n_regionkey}")
+        out["pipes"][f"c{r.n_nationkey}"] = builder.Fifo()
+    return out
+
+
+@functools.cache
+def _image(at: str, d: str, variant: str) -> str:
+    """Path of the image; built on the driver, as images are made by other programs on one machine."""
+    spark = SparkSession.active()
+    tree_ = _special_tree(spark, d) if variant in ("special", "large_holes") else _documents_tree(spark, d, variant == "links")
+    handle, path = tempfile.mkstemp(suffix=f"-{variant}.img", dir=_folder(spark))
     with os.fdopen(handle, "wb") as f:
-        f.write(builder.build(tree_, builder.Options(block_size=1 << 20, **VARIANTS[variant])))
+        f.write(builder.build(tree_, builder.Options(**{"block_size": 1 << 20, **VARIANTS[variant]})))
     return path
 
 
@@ -245,6 +282,143 @@ def ndjson(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(F.get_json_object("value", "$.path").alias("path"), F.get_json_object("value", "$.kind").alias("kind"), F.get_json_object("value", "$.size").cast("long").alias("size")).filter("kind = 'regular'")
 
 
+# --- codecs, attributes, holes, categories, listings, sinks and damage, through images
+
+
+def sha256_of(variant: str) -> Callable[[SparkSession, str], DataFrame]:
+    def digests(spark: SparkSession, d: str) -> DataFrame:
+        f = image_of(spark, d, variant)
+        return f.tree.filter("kind = 'regular'").join(f.checksums("sha256"), "inode").select(F.col("path_text").alias("path"), "digest")
+
+    return digests
+
+
+def special_stat(spark: SparkSession, d: str) -> DataFrame:
+    f = image_of(spark, d, "special")
+    return f.tree.select("inode", F.col("path_text").alias("path")).join(f.inode_attr, "inode").select("path", "kind", "mode", "uid", "gid", "size", "atime", "mtime", "ctime", "nlink", "rdev")
+
+
+def hole_reads(spark: SparkSession, d: str) -> DataFrame:
+    """A range that meets holes, and the digest of the whole file, where long holes are in a table of their own."""
+    f = image_of(spark, d, "large_holes")
+    files = f.tree.filter("path_text like '/holes/%'").join(f.read_ranges(9_990, 40), "inode").join(f.checksums("sha256"), "inode")
+    return files.select(F.col("path_text").alias("path"), F.lower(F.hex("data")).alias("data"), "digest")
+
+
+def walk_order(spark: SparkSession, d: str) -> DataFrame:
+    """Paths with their places in the walk, numbered by partition, so no task has all of them."""
+    number = F.monotonically_increasing_id()
+    rows = cut(image_of(spark, d, "packed").tree.orderBy("place").select(F.col("path_text").alias("path"), F.shiftright(number, 33).alias("part"), number.bitwiseAND((1 << 33) - 1).alias("k")))
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    starts = windows.prefix_sum(parts, "part", "n", "end", None).select("part", (F.col("end") - F.col("n")).alias("start"))
+    return rows.join(F.broadcast(starts), "part").select("path", (F.col("start") + F.col("k")).alias("place"))
+
+
+def image_sections(spark: SparkSession, d: str) -> DataFrame:
+    return image_of(spark, d, "small").sections.groupBy("type", "compression").agg(F.count("*").alias("sections"), F.min("ordinal").alias("first"), F.min("minor").cast("long").alias("minor"))
+
+
+def section_index(spark: SparkSession, d: str) -> DataFrame:
+    """Sections whose place in the index is the one they are found at, behind a prefix, by type."""
+    f = image_of(spark, d, "brotli")
+    base = f.table("image").select("base_offset", F.octet_length("header").cast("long").alias("prefix"))
+    both = f.sections.join(f.table("section_index"), ["ordinal", "type_id"]).crossJoin(F.broadcast(base))
+    return both.groupBy("type", "prefix").agg(F.every(F.col("file_offset") - F.col("base_offset") == F.col("offset_from_base")).alias("agree"))
+
+
+def block_categories(spark: SparkSession, d: str) -> DataFrame:
+    f = image_of(spark, d, "small")
+    return f.block_categories.join(f.table("blocks").select("block", "size"), "block").select("block", "category", "size")
+
+
+def image_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = export.summary(image_of(spark, d, "packed"))
+    names = ("block_size", "inode_count", "total_fs_size", "symlink_offset", "file_offset", "shared_file_offset", "device_offset")
+    return spark.createDataFrame([tuple(s[k] for k in names) + (",".join(sorted(s["options"])),)], ", ".join(f"{k} long" for k in names) + ", options string")
+
+
+def image_readdir(spark: SparkSession, d: str) -> DataFrame:
+    f = image_of(spark, d, "lzma")
+    return f.read_dir_page(0, 1, 4).select(F.decode("name", "UTF-8").alias("name"), "kind", F.col("cookie").cast("long").alias("cookie"))
+
+
+def image_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes by path, asked with empty components; a third of the paths do not exist."""
+    f = image_of(spark, d, "lz4")
+    wrong = F.when(F.col("doc_id") % 3 == 0, F.lit("x")).otherwise(F.lit(""))
+    asked = _read(spark, d, "documents").select(F.concat(F.col("lang"), F.lit("//"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"), wrong).alias("path"))
+    return f.lookup(asked).join(f.sizes.select("inode", "size"), "inode", "left").select("path", "kind", "size")
+
+
+@functools.cache
+def _extracted(at: str, d: str, hardlink: bool) -> tuple[str, extract.ExtractStats]:
+    spark = SparkSession.active()
+    dest = f"{_folder(spark)}/cairn-out-{uuid.uuid4().hex}"
+    return dest, extract.extract_all(image_of(spark, d, "small"), dest, extract.ExtractOptions(hardlink_shared=hardlink))
+
+
+def extracted(spark: SparkSession, d: str) -> DataFrame:
+    """The files that extraction wrote, read back from the folder."""
+    dest, _ = _extracted(shared_dir(spark), d, False)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{dest}")
+    return files.select(F.regexp_extract("path", r"(/[^/]+/[^/]+/[^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("digest"))
+
+
+def extract_stats(spark: SparkSession, d: str) -> DataFrame:
+    _, s = _extracted(shared_dir(spark), d, True)
+    names = ("directories", "files", "symlinks", "hardlinks", "skipped", "errors")
+    return spark.createDataFrame([tuple(getattr(s, k) for k in names)], ", ".join(f"{k} long" for k in names))
+
+
+def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for path in (p for f in frames for p in f["path"]):
+        with tarfile.open(path) as tar:
+            for place, m in enumerate(tar):
+                digest = hashlib.sha256(tar.extractfile(m).read()).hexdigest() if m.isfile() else None
+                yield pd.DataFrame({"place": [place], "path": ["/" + m.name], "size": [m.size], "mode": [m.mode], "uid": [m.uid], "gid": [m.gid], "mtime": [int(m.mtime)], "digest": [digest]})
+
+
+@functools.cache
+def _tar(at: str, d: str) -> str:
+    path = f"{_folder(SparkSession.active())}/cairn-{uuid.uuid4().hex}.tar"
+    extract.write_tar(image_of(SparkSession.active(), d, "packed"), path)
+    return path
+
+
+def tar_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the archive in their order, as a reader of archives finds them."""
+    path = spark.createDataFrame([(_tar(shared_dir(spark), d),)], "path string")
+    return path.mapInPandas(_members, "place long, path string, size long, mode long, uid long, gid long, mtime long, digest string")
+
+
+#: What is flipped: byte in the section, ordinal of the section. Section 0 is a block, 1 the schema.
+FLIPS = {"payload of 0": (64, 0), "payload of 1": (66, 1), "digest of 0": (8, 0), "quick hash of 1": (0x28, 1), "number of 1": (0x30, 1), "type of 0": (0x34, 0), "magic of 1": (0, 1), "magic of the last": (0, 3), "version of 1": (6, 1), "length of the last": (0x3F, 3)}
+
+
+def verify_broken(spark: SparkSession, d: str) -> DataFrame:
+    """What each level of verification says of an image with one flipped bit: ok and first failure, or the error."""
+    rows = []
+    data = builder.build({"a": b"some text", "b": {"c": b"more"}}, builder.Options())
+    starts = [0]
+    for _ in range(3):
+        starts.append(starts[-1] + 64 + int.from_bytes(data[starts[-1] + 56 : starts[-1] + 64], "little"))
+    for name, (byte, section) in FLIPS.items():
+        bad = bytearray(data)
+        bad[starts[section] + byte] ^= 1
+        path = f"{_folder(spark)}/cairn-{uuid.uuid4().hex}.img"
+        with open(path, "wb") as f:
+            f.write(bad)
+        for deep in (False, True):
+            try:
+                r = ImageFrame(spark, path, 0).verified(deep).first()
+                rows.append((name, deep, r.ok, r.first_failure, None))
+            except Exception as e:  # noqa: BLE001
+                known = [x for x in ("BadMagic", "UnsupportedVersion", "TruncatedSection", "TruncatedHeader") if x in str(e) or x == type(e).__name__]
+                rows.append((name, deep, None, None, known[0] if known else str(e)))
+        os.unlink(path)
+    return spark.createDataFrame(rows, "flip string, deep boolean, ok boolean, first_failure long, error string")
+
+
 QUERIES = {
     "a_mode_kind": mode_kind, "a_prefix_sum_u32": prefix_sum_u32, "a_chunk_ends": chunk_ends, "a_range_read": range_read, "a_hole_length": hole_length,
     "a_rle_expand": rle_expand, "a_dict_join": dict_join, "a_dir_extents": dir_extents, "a_walk_tree": walk_tree, "a_lookup_paths": lookup_paths,
@@ -252,6 +426,9 @@ QUERIES = {
     "a_categories_first_seen": categories_first_seen, "a_readdir_page": readdir_page, "a_rising_index": rising_index, "a_device_numbers": device_numbers,
     "a_timestamps": timestamps, "b_walk_stat": walk_stat, "b_sha256": sha256_files, "b_read_at": read_at, "b_dedup": dedup, "b_symlink": symlink,
     "b_verify": verify, "b_list_dirs": list_dirs, "b_glob_extract": glob_extract, "b_ndjson": ndjson,
+    "b_sha256_lzma": sha256_of("lzma"), "b_sha256_lz4": sha256_of("lz4"), "b_sha256_brotli": sha256_of("brotli"), "b_special_stat": special_stat, "b_hole_reads": hole_reads,
+    "b_walk_order": walk_order, "b_sections": image_sections, "b_section_index": section_index, "b_block_categories": block_categories, "b_summary": image_summary,
+    "b_readdir": image_readdir, "b_lookup": image_lookup, "b_extract": extracted, "b_extract_stats": extract_stats, "b_tar": tar_members, "b_verify_broken": verify_broken,
 }
 
 _PATH = "'/' || lang || '/' || source || '/' || doc_id || '.txt'"
@@ -268,6 +445,12 @@ WITH RECURSIVE c AS (
 _CHUNKS = """
 WITH c AS (SELECT l_orderkey AS file, CAST(l_quantity AS BIGINT) AS len, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM lineitem)
 """
+_DIRS = "SELECT '' AS path UNION SELECT '/' || lang FROM documents UNION SELECT '/' || lang || '/' || source FROM documents"
+_DIGESTS = f"SELECT {_PATH} AS path, sha256(text) AS digest FROM documents"
+_BLOCKS = "SELECT unnest(range(CAST(ceil(n / 16384) AS BIGINT))) AS block, n FROM (SELECT CAST(sum(strlen(t)) AS BIGINT) AS n FROM (SELECT DISTINCT text AS t FROM documents))"
+_SPECIAL_KINDS = "(VALUES ('dev'), ('holes'), ('links'), ('pipes'), ('regions')) v(x)"
+_HOLE_HEX = "repeat('00', p_size * 1000) || lower(hex(encode('mid' || p_partkey))) || repeat('00', CAST(1 + p_partkey % 7 * 100 AS INT))"
+_TIMES = "CAST(1234 AS BIGINT) AS uid, CAST(77 AS BIGINT) AS gid, CAST(1700000010 AS BIGINT) AS atime, CAST(1700000020 AS BIGINT) AS mtime, CAST(1700000030 AS BIGINT) AS ctime"
 _BY_SOURCE = "SELECT source, CAST(substr(source, 4) AS BIGINT) AS inode, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source"
 SQL = {
     "a_mode_kind": f"SELECT CASE m & 61440 WHEN 16384 THEN 'directory' WHEN 40960 THEN 'symlink' WHEN 32768 THEN 'regular' WHEN 8192 THEN 'char-device' WHEN 24576 THEN 'block-device' WHEN 4096 THEN 'fifo' WHEN 49152 THEN 'socket' ELSE 'unknown' END AS kind, CAST(m & 4095 AS BIGINT) AS perm, count(*) AS n FROM (SELECT {_MODE} AS m FROM orders) GROUP BY ALL",
@@ -298,4 +481,30 @@ SQL = {
     "b_list_dirs": "SELECT '' AS path, CAST(0 AS BIGINT) AS depth UNION SELECT '/' || lang, 1 FROM documents UNION SELECT '/' || lang || '/' || source, 2 FROM documents",
     "b_glob_extract": f"SELECT {_PATH} AS path FROM documents WHERE lang = 'en' AND CAST(doc_id AS VARCHAR) LIKE '1%'",
     "b_ndjson": f"SELECT {_PATH} AS path, 'regular' AS kind, CAST(strlen(text) AS BIGINT) AS size FROM documents",
+    "b_sha256_lzma": _DIGESTS,
+    "b_sha256_lz4": _DIGESTS,
+    "b_sha256_brotli": _DIGESTS,
+    "b_special_stat": f"""SELECT path, kind, CAST(mode AS BIGINT) AS mode, {_TIMES}, CAST(size AS BIGINT) AS size, CAST(nlink AS BIGINT) AS nlink, CAST(rdev AS BIGINT) AS rdev FROM (
+      SELECT '' AS path, 'directory' AS kind, 16877 AS mode, 0 AS size, 1 AS nlink, 0 AS rdev UNION ALL SELECT '/' || x, 'directory', 16877, 0, 1, 0 FROM {_SPECIAL_KINDS}
+      UNION ALL SELECT '/dev/s' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'block-device' ELSE 'char-device' END, CASE WHEN s_suppkey % 2 = 0 THEN 24960 ELSE 8576 END, 0, 1, CAST(s_nationkey AS BIGINT) * 4294967296 + s_suppkey FROM supplier
+      UNION ALL SELECT '/holes/p' || p_partkey, 'regular', 33188, p_size * 1000 + strlen('mid' || p_partkey) + 1 + p_partkey % 7 * 100, 1, 0 FROM part
+      UNION ALL SELECT '/pipes/c' || n_nationkey, 'fifo', 4480, 0, 1, 0 FROM nation
+      UNION ALL SELECT '/regions/r' || r_regionkey, 'regular', 33188, strlen(r_name), 1 + (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey), 0 FROM region
+      UNION ALL SELECT '/links/n' || n_nationkey, 'regular', 33188, strlen(r_name), 1 + count(*) OVER (PARTITION BY n_regionkey), 0 FROM nation JOIN region ON n_regionkey = r_regionkey)""",
+    "b_hole_reads": f"SELECT '/holes/p' || p_partkey AS path, substr(h, 19981, 80) AS data, sha256(unhex(h)) AS digest FROM (SELECT p_partkey, {_HOLE_HEX} AS h FROM part)",
+    "b_walk_order": f"SELECT path, CAST(row_number() OVER (ORDER BY replace(path, '/', chr(1))) - 1 AS BIGINT) AS place FROM (SELECT {_PATH} AS path FROM documents UNION ALL SELECT * FROM ({_DIRS}))",
+    "b_sections": f"SELECT type, compression, CAST(sections AS BIGINT) AS sections, CAST(first AS BIGINT) AS first, CAST(6 AS BIGINT) AS minor FROM (SELECT 'block' AS type, 'zstd' AS compression, count(*) AS sections, 0 AS first FROM ({_BLOCKS}) UNION ALL SELECT 'metadata_v2_schema', 'none', 1, count(*) FROM ({_BLOCKS}) UNION ALL SELECT 'metadata_v2', 'none', 1, count(*) + 1 FROM ({_BLOCKS}) UNION ALL SELECT 'section_index', 'none', 1, count(*) + 2 FROM ({_BLOCKS}))",
+    "b_section_index": "SELECT type, CAST(200000 AS BIGINT) AS prefix, true AS agree FROM (VALUES ('block'), ('metadata_v2_schema'), ('metadata_v2'), ('section_index')) v(type)",
+    "b_block_categories": f"SELECT block, CASE block % 4 WHEN 1 THEN 'audio' WHEN 3 THEN 'other' ELSE 'text' END AS category, least(16384, n - block * 16384) AS size FROM ({_BLOCKS})",
+    "b_summary": f"""SELECT CAST(1048576 AS BIGINT) AS block_size, CAST(d + f AS BIGINT) AS inode_count, CAST(bytes AS BIGINT) AS total_fs_size, CAST(d AS BIGINT) AS symlink_offset, CAST(d AS BIGINT) AS file_offset, CAST(d + u AS BIGINT) AS shared_file_offset, CAST(d + f AS BIGINT) AS device_offset, 'inodes_have_nlink,mtime_only,packed_chunk_table,packed_directories,packed_shared_files_table' AS options
+      FROM (SELECT (SELECT count(*) FROM ({_DIRS})) AS d, (SELECT count(*) FROM documents) AS f, (SELECT sum(strlen(text)) FROM documents) AS bytes, (SELECT count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) = 1)) AS u)""",
+    "b_readdir": "SELECT name, 'directory' AS kind, cookie FROM (SELECT name, row_number() OVER (ORDER BY k, name) AS cookie FROM (SELECT 0 AS k, '.' AS name UNION ALL SELECT 1, '..' UNION ALL SELECT DISTINCT 2, lang FROM documents)) WHERE cookie > 1 AND cookie <= 5",
+    "b_lookup": "SELECT lang || '//' || source || '/' || doc_id || '.txt' || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END AS path, CASE WHEN doc_id % 3 <> 0 THEN 'regular' END AS kind, CASE WHEN doc_id % 3 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS size FROM documents",
+    "b_extract": _DIGESTS,
+    "b_extract_stats": f"SELECT (SELECT count(*) FROM ({_DIRS})) AS directories, count(DISTINCT text) AS files, CAST(0 AS BIGINT) AS symlinks, count(*) - count(DISTINCT text) AS hardlinks, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors FROM documents",
+    "b_tar": f"""SELECT CAST(row_number() OVER (ORDER BY replace(path, '/', chr(1))) - 1 AS BIGINT) AS place, path, CAST(size AS BIGINT) AS size, CAST(CASE WHEN digest IS NULL THEN 493 ELSE 420 END AS BIGINT) AS mode, CAST(1000 AS BIGINT) AS uid, CAST(100 AS BIGINT) AS gid, CAST(1700000000 AS BIGINT) AS mtime, digest
+      FROM (SELECT {_PATH} AS path, strlen(text) AS size, sha256(text) AS digest FROM documents UNION ALL SELECT path, 0, NULL FROM ({_DIRS}) WHERE path <> '')""",
+    "b_verify_broken": """SELECT flip, deep, CASE WHEN error IS NULL THEN deep_only AND NOT deep END AS ok, CASE WHEN error IS NULL AND (deep OR NOT deep_only) THEN CAST(section AS BIGINT) END AS first_failure, error
+      FROM (VALUES ('payload of 0', 0, false, NULL), ('payload of 1', 1, false, NULL), ('digest of 0', 0, true, NULL), ('quick hash of 1', 1, false, NULL), ('number of 1', 1, false, NULL), ('type of 0', 0, false, NULL),
+        ('magic of 1', 1, false, 'BadMagic'), ('magic of the last', 3, false, 'BadMagic'), ('version of 1', 1, false, 'UnsupportedVersion'), ('length of the last', 3, false, 'TruncatedSection')) v(flip, section, deep_only, error), (VALUES (false), (true)) w(deep)""",
 }
