@@ -1,23 +1,24 @@
 """Leaf blocks of an HTML page, read with one pass of a tolerant scanner.
 
 A block is a run of text between boundaries of block-level elements. Inline tags are dropped, ``br`` is white space,
-and scripts, styles, templates and comments have no text. A closing tag closes up to its element if that is open; a
-new paragraph, list item or cell closes an open one of its kind.
+and scripts, styles, templates, drawings and comments have no text; a drawing that is never closed hides only its start tag. A
+closing tag closes up to its element if that is open; a new paragraph, list item or cell closes an open one of its kind.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)(?:>|\Z)|<(?:![^>]*+|\?[^>]*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
-RAW = frozenset(("script", "style", "template", "noscript", "textarea", "svg", "iframe", "math", "object"))
+RAW = frozenset(("script", "style", "template", "textarea", "svg", "iframe"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 BLOCKS = frozenset(
-    "address article aside blockquote body button canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul video audio".split()
+    "address article aside blockquote body button canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript object ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul video audio".split()
 )
 #: A start tag of the key closes open elements of the values, up to the element that holds them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -25,10 +26,21 @@ _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _NO_P = BLOCKS - {"body", "html", "head", "label", "button", "option"}
 
 
+class Element:
+    """An open block element: its tag, the words of its class, id and role, and the element around it."""
+
+    __slots__ = ("above", "depth", "notes", "tag", "words")
+
+    def __init__(self, tag: str, words: tuple[str, ...], above: Element | None):
+        self.tag, self.words, self.above = tag, words, above
+        self.depth = above.depth + 1 if above else 1
+        self.notes = None  # what a reader of blocks has found out about the element
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # open block elements, outermost first: tag, words of class, id and role
+    inside: Element | None  # the innermost open block element
     linked: int  # characters inside links
     start: int  # where in the page its text begins
 
@@ -36,7 +48,8 @@ class Block:
 def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
+    path: list[Element] = []
+    is_open: Counter[str] = Counter()
     text: list[str] = []
     linked = at = start = 0
     in_link = False
@@ -46,7 +59,7 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append(Block(joined, tuple(path), linked, start))
+                out.append(Block(joined, path[-1] if path else None, linked, start))
             text.clear()
         linked = 0
 
@@ -58,6 +71,10 @@ def blocks(page: str | None) -> list[Block]:
         if in_link:
             linked += len(part)
 
+    def close(i: int) -> None:
+        is_open.subtract(e.tag for e in path[i:])
+        del path[i:]
+
     while at < len(page):
         m = _TAG.search(page, at)
         if not m:
@@ -73,7 +90,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in RAW:
             if not closing and not (m[3] or m[6] or "").endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else at if tag == "svg" else len(page)
             continue
         if tag == "a":
             in_link = not closing
@@ -85,21 +102,20 @@ def blocks(page: str | None) -> list[Block]:
                 continue
             if closing:
                 in_link = False
-                for i in range(len(path) - 1, -1, -1):
-                    if path[i][0] == tag:
-                        del path[i:]
-                        break
+                if is_open[tag]:
+                    close(next(i for i in range(len(path) - 1, -1, -1) if path[i].tag == tag))
             else:
-                if tag in _NO_P and path and path[-1][0] == "p":
-                    path.pop()
-                if tag in CLOSES:
+                if tag in _NO_P and path and path[-1].tag == "p":
+                    close(len(path) - 1)
+                if any(is_open[t] for t in CLOSES.get(tag, ())):
                     for i in range(len(path) - 1, -1, -1):
-                        if path[i][0] in _HOLDS[tag]:
+                        if path[i].tag in _HOLDS[tag]:
                             break
-                        if path[i][0] in CLOSES[tag]:
-                            del path[i:]
+                        if path[i].tag in CLOSES[tag]:
+                            close(i)
                             break
                 named = " ".join(x or y or z for x, y, z in _NAMED.findall(m[3] or m[6] or ""))
-                path.append((tag, tuple(w for w in _SPLIT.split(named.lower()) if w)))
+                path.append(Element(tag, tuple(w for w in _SPLIT.split(named.lower()) if w), path[-1] if path else None))
+                is_open[tag] += 1
     flush()
     return out

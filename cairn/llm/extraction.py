@@ -11,7 +11,6 @@ read each; broken markup is read as far as it goes; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import labelled_pages as made
 from cairn.llm.crf import Chain
-from cairn.llm.dom import Block, blocks
+from cairn.llm.dom import Block, Element, blocks
 from cairn.llm.shared import read
 
 PAGES = 300
@@ -28,37 +27,52 @@ _TAGS = "p div h1 h2 h3 li td th pre blockquote figcaption label button option t
 _ABOVE = "nav header footer aside form article main section ul ol table head body blockquote dialog select figure menu details".split()
 _NAMES = {k: frozenset(w for name in names for w in name.split("-")) for k, names in (("menu", made.MENU), ("ads", made.ADS), ("notice", made.NOTICES), ("aside", made.ASIDES), ("comments", made.COMMENTS), ("foot", made.FEET), ("head", made.HEADS), ("body", made.BODIES))}
 N_FEATURES = len(_TAGS) + 2 * len(_ABOVE) + 2 * len(_NAMES) + 14
-
-
-@cache
-def _of_path(path: tuple) -> np.ndarray:
+_MARKS = frozenset(("nav", "header", "footer", "aside", "form", "article", "main", "section", "head", "dialog"))
+
+
+def _notes(inside: Element | None) -> tuple:
+    """What the path down to an element tells: tags in it that are features or titles, the last mark, the depth of the last element with words of each kind.
+
+    Noted on each element from those of the one around it, so a path costs its length once, however many blocks it has.
+    """
+    chain = []
+    while inside is not None and inside.notes is None:
+        chain.append(inside)
+        inside = inside.above
+    notes = inside.notes if inside is not None else (frozenset(), None, (0,) * len(_NAMES))
+    for e in reversed(chain):
+        tags, mark, last = notes
+        if e.tag not in tags and (e.tag in _ABOVE or e.tag == "title"):
+            tags = tags | {e.tag}
+        if e.words:
+            last = tuple(e.depth if names.intersection(e.words) else d for names, d in zip(_NAMES.values(), last, strict=True))
+        e.notes = notes = (tags, e.tag if e.tag in _MARKS else mark, last)
+    return notes
+
+
+def _of_path(inside: Element | None) -> np.ndarray:
     out = np.zeros(N_FEATURES)
-    tags = [t for t, _ in path]
-    if tags and tags[-1] in _TAGS:
-        out[_TAGS.index(tags[-1])] = 1
+    tags, mark, last = _notes(inside)
+    if inside is not None and inside.tag in _TAGS:
+        out[_TAGS.index(inside.tag)] = 1
     k = len(_TAGS)
-    for i, t in enumerate(_ABOVE):
-        out[k + i] = t in tags
+    for t in tags - {"title"}:
+        out[k + _ABOVE.index(t)] = 1
     k += len(_ABOVE)
-    marks = [t for t in tags if t in ("nav", "header", "footer", "aside", "form", "article", "main", "section", "head", "dialog")]
-    if marks:
-        out[k + _ABOVE.index(marks[-1])] = 1
+    if mark:
+        out[k + _ABOVE.index(mark)] = 1
     k += len(_ABOVE)
-    for i, names in enumerate(_NAMES.values()):
-        for depth, (_, words) in enumerate(reversed(path)):
-            if names.intersection(words):
-                out[k + i] = 1
-                out[k + len(_NAMES) + i] = 1 / (1 + depth)
-                break
+    for i, depth in enumerate(last):
+        if depth:
+            out[k + i] = 1
+            out[k + len(_NAMES) + i] = 1 / (1 + inside.depth - depth)
     return out
 
 
 def features(page: list[Block]) -> np.ndarray:
     if not page:
         return np.zeros((0, N_FEATURES))
-    if _of_path.cache_info().currsize > 50_000:
-        _of_path.cache_clear()
-    out = np.stack([_of_path(b.path) for b in page])
+    out = np.stack([_of_path(b.inside) for b in page])
     k = N_FEATURES - 14
     for i, b in enumerate(page):
         n = len(b.text)
@@ -74,9 +88,10 @@ def features(page: list[Block]) -> np.ndarray:
         x[k + 8] = "©" in b.text
         x[k + 9] = i == 0
         x[k + 10] = i == len(page) - 1
-        x[k + 11] = not any(t == "title" for t, _ in b.path) and len(b.path) <= 2
+        tags = _notes(b.inside)[0]
+        x[k + 11] = "title" not in tags and (b.inside is None or b.inside.depth <= 2)
         x[k + 12] = b.text.count(",") > 2
-        x[k + 13] = len({t for t, _ in b.path} & {"article", "main"}) > 0
+        x[k + 13] = bool(tags & {"article", "main"})
     return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -519,6 +520,20 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in blocks("<p>a<p>b<div>c<li>d<li>e</div>f")] == ["a", "b", "c", "d", "e", "f"]
 
 
+def test_formulas_and_fallbacks_are_text():
+    page = "<p>a <math><mi>x</mi></math> b<svg><text>c</text></svg><noscript>d</noscript><object><p>e</object><svg width=1><p>f"
+    assert [b.text for b in blocks(page)] == ["a x b", "d", "e", "f"]
+
+
+def test_deep_nesting_takes_linear_time():
+    chain = extraction.train(20)
+    found = blocks("<div>a" * 20_000 + "</div></p>" * 20_000)
+    assert len(found) == 20_000 and found[-1].inside.depth == 20_000
+    began = time.monotonic()
+    chain.decode(extraction.features(found))
+    assert time.monotonic() - began < 30
+
+
 def test_statistics_of_odd_texts():
     for t in (None, "", " ", "\n\n", "a", "é", "a " * 5000):
         assert np.isfinite(quality.statistics(t)).all()
