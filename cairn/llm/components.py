@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, as Spark joins.
 
-Labels never reach the driver. Each step shuffles the edges that are left; a hub's least neighbour is found with a
-partial aggregate, and its edges meet that one row in a join that adaptive execution may split.
+Labels never reach the driver. Each step works on the edges that are left; a hub's least neighbour is found with a
+partial aggregate and written, and its edges meet that one row by a broadcast of counted size or, beyond that, in a
+join of two plain shuffles, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -9,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import cut
+from cairn.llm.shared import cut, small
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     near = edges.unionByName(turned) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    out = near.join(least, "a")
+    least = cut(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    out = near.join(small(least), "a")
     linked = out.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return linked.filter("a <> b").distinct()
 
