@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.fixtures import builder
+from cairn.fixtures import builder, spread
 from cairn.functions import columns as fn
 from cairn.operators import joins, tree, windows
 from cairn.plans.cut import cut, shared_dir
@@ -188,15 +188,18 @@ def _folder(spark: SparkSession) -> str:
     return unquote(folder)
 
 
-def _documents_tree(spark: SparkSession, d: str, chats: bool) -> dict:
-    tree_: dict = {}
-    for r in _read(spark, d, "documents").select("doc_id", "text", "lang", "source").orderBy("doc_id").toLocalIterator():
-        tree_.setdefault(r.lang or "none", {}).setdefault(r.source or "none", {})[f"{r.doc_id}.txt"] = (r.text or "").encode()
-    if chats:
-        into = tree_.setdefault("chats", {})
-        for r in _read(spark, d, "conversations").select("conv_id", "turn", "role").orderBy("conv_id", "turn").toLocalIterator():
-            into[f"{r.conv_id}-{r.turn}"] = builder.Link(f"../{r.role}/{r.conv_id}".encode())
-    return tree_
+def _documents_files(spark: SparkSession, d: str) -> DataFrame:
+    """``folder, name, content`` of a file for each document."""
+    named = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "none").otherwise(F.col(c))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.lit(".txt"))
+    return _read(spark, d, "documents").select(F.concat_ws("\0", named("lang"), named("source")).alias("folder"), name.alias("name"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
+
+
+def _chats_links(spark: SparkSession, d: str) -> DataFrame:
+    """``folder, name, target`` of a link for each turn of a conversation; of equal turns the greatest role counts."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    turns = _read(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"))
+    return turns.select(F.lit("chats").alias("folder"), F.concat(text("conv_id"), F.lit("-"), text("turn")).alias("name"), F.concat(F.lit("../"), text("role"), F.lit("/"), text("conv_id")).alias("target"))
 
 
 def _special_tree(spark: SparkSession, d: str) -> dict:
@@ -216,12 +219,16 @@ def _special_tree(spark: SparkSession, d: str) -> dict:
 
 @functools.cache
 def _image(at: str, d: str, variant: str) -> str:
-    """Path of the image; built on the driver, as images are made by other programs on one machine."""
+    """Path of the image. That of the documents is written by the executors; the small ones with devices and holes by the driver."""
     spark = SparkSession.active()
-    tree_ = _special_tree(spark, d) if variant in ("special", "large_holes") else _documents_tree(spark, d, variant == "links")
+    options = builder.Options(**{"block_size": 1 << 20, **VARIANTS[variant]})
     handle, path = tempfile.mkstemp(suffix=f"-{variant}.img", dir=_folder(spark))
-    with os.fdopen(handle, "wb") as f:
-        f.write(builder.build(tree_, builder.Options(**{"block_size": 1 << 20, **VARIANTS[variant]})))
+    os.close(handle)
+    if variant in ("special", "large_holes"):
+        with open(path, "wb") as f:
+            f.write(builder.build(_special_tree(spark, d), options))
+    else:
+        spread.write(_documents_files(spark, d), _chats_links(spark, d) if variant == "links" else None, path, _folder(spark), options)
     return path
 
 
