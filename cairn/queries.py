@@ -364,11 +364,25 @@ def _extracted(at: str, d: str, hardlink: bool) -> tuple[str, extract.ExtractSta
     return dest, extract.extract_all(image_of(spark, d, "small"), dest, extract.ExtractOptions(hardlink_shared=hardlink))
 
 
+def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for folder in (f for frame in frames for f in frame["folder"]):
+        names = os.listdir(folder)
+        for i in range(0, len(names), 10_000):
+            yield pd.DataFrame({"file": [f"{folder}/{n}" for n in names[i : i + 10_000]]})
+
+
+def _file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def extracted(spark: SparkSession, d: str) -> DataFrame:
-    """The files that extraction wrote, read back from the folder."""
+    """The files that extraction wrote, read back from the folder; it is listed a directory at a time, by executors."""
     dest, _ = _extracted(shared_dir(spark), d, False)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{dest}")
-    return files.select(F.regexp_extract("path", r"(/[^/]+/[^/]+/[^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("digest"))
+    folders = [(f.path,) for top in os.scandir(dest) for f in os.scandir(top.path)]
+    files = spark.createDataFrame(folders, "folder string").repartition("folder").mapInPandas(_listed, "file string").repartition("file")
+    hashed = files.mapInPandas(lambda frames: (f.assign(digest=f["file"].map(_file_digest)) for f in frames), "file string, digest string")
+    return hashed.select(F.regexp_extract("file", r"(/[^/]+/[^/]+/[^/]+)$", 1).alias("path"), "digest")
 
 
 def extract_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -378,11 +392,17 @@ def extract_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns, rows = ["place", "path", "size", "mode", "uid", "gid", "mtime", "digest"], []
     for path in (p for f in frames for p in f["path"]):
         with tarfile.open(path) as tar:
             for place, m in enumerate(tar):
-                digest = hashlib.sha256(tar.extractfile(m).read()).hexdigest() if m.isfile() else None
-                yield pd.DataFrame({"place": [place], "path": ["/" + m.name], "size": [m.size], "mode": [m.mode], "uid": [m.uid], "gid": [m.gid], "mtime": [int(m.mtime)], "digest": [digest]})
+                digest = hashlib.file_digest(tar.extractfile(m), "sha256").hexdigest() if m.isfile() else None
+                rows.append((place, "/" + m.name, m.size, m.mode, m.uid, m.gid, int(m.mtime), digest))
+                tar.members.clear()  # else each stays in memory
+                if len(rows) == 10_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+    yield pd.DataFrame(rows, columns=columns)
 
 
 @functools.cache

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cairn.errors import DecodeError
 from cairn.functions import columns as fn
 from cairn.operators import content
+from cairn.plans.cut import cut
 from cairn.plans.image import ImageFrame
 
 
@@ -109,12 +110,10 @@ def extract_all(frame: ImageFrame, dest: str, options: ExtractOptions | None = N
     empty = first.select(F.col("slot").alias("file"), F.lit(-1).cast("long").alias("idx"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("take"), F.lit(None).cast("binary").alias("bytes"))
     rows = pieces.unionByName(empty).join(first.select(F.col("slot").alias("file"), "path"), "file")
     dealt = rows.repartition("file").sortWithinPartitions("file", "idx", "start")
-    written: dict[int, str | None] = {r.file: r.error for r in dealt.mapInArrow(lambda b: _write(b, dest), "file long, error string").toLocalIterator()}
-    for slot, error in written.items():
-        if error:
-            failed(slot, error)
-        else:
-            stats.files += 1
+    written = cut(dealt.mapInArrow(lambda b: _write(b, dest), "file long, error string"))
+    for r in written.filter("error is not null").toLocalIterator():
+        failed(r.file, r.error)
+    stats.files += written.filter("error is null").count()
 
     links = files.join(first.select("slot", F.col("path").alias("writer")), "slot").filter("path <> writer").select("place", "path", "kind", "writer", "slot", F.lit(None).cast("binary").alias("target"))
     syms = chosen.filter("kind = 'symlink'").join(frame.symlinks, "inode", "left").select("place", "path", "kind", F.lit(None).cast("binary").alias("writer"), F.lit(None).cast("long").alias("slot"), "target")
@@ -185,6 +184,7 @@ def write_tar(frame: ImageFrame, out: str | BinaryIO) -> int:
             info = tarfile.TarInfo(bytes(r.path).decode("utf-8", "replace").lstrip("/"))
             info.mode, info.uid, info.gid, info.mtime = r.mode & 0o7777, r.uid, r.gid, r.mtime
             members += 1
+            tar.members.clear()  # else each stays in memory
             if r.kind == "directory":
                 info.type = tarfile.DIRTYPE
                 tar.addfile(info)

@@ -1,7 +1,10 @@
-"""Images written by executors."""
+"""Images written by executors, and what their sinks hold in memory."""
 
+import io
+import tarfile
 import tracemalloc
 
+import pandas as pd
 import pytest
 
 from cairn import queries
@@ -54,3 +57,18 @@ def test_texts_stay_on_executors(spark, tmp_path):
         assert tracemalloc.get_traced_memory()[1] < 8 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_members_come_in_batches(tmp_path):
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        for i in range(300):
+            info = tarfile.TarInfo(f"{i}.txt")
+            info.size = 2
+            tar.addfile(info, io.BytesIO(b"ab"))
+    frames = list(queries._members(iter([pd.DataFrame({"path": [str(tmp_path / "a.tar")]})])))
+    assert len(frames) == 1 and list(frames[0]["place"]) == list(range(300)) and frames[0]["digest"].nunique() == 1
+
+
+def test_extracted_files_are_listed_by_executors(spark):
+    plan = queries.extracted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan and "MapInPandas" in plan
