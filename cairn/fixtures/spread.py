@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.fixtures import builder
-from cairn.fixtures.builder import Options, Tables
+from cairn.fixtures.builder import Columns, Options, Tables
 
 #: Bytes of blocks that one file of the shared folder has; a piece of content is handed on in batches of as many.
 PART = 16 << 20
@@ -42,8 +43,10 @@ def write(files: DataFrame, links: DataFrame | None, path: str, shared: str, opt
         keyed = files.withColumn("digest", F.unhex(F.sha2("content", 256)))
         found = keyed.select("folder", "name", "digest", F.octet_length("content").cast("long").alias("size")).toArrow()
         tables, layout = _tables(found, None if links is None else links.select("folder", "name", "target").toArrow(), o)
-        del found
         pq.write_table(layout, f"{work}/layout.parquet")
+        blocks, stored, last = tables.blocks, tables.stored, builder.last_sections(*builder.metadata_of(tables, o), o)
+        del found, layout, tables  # the job below needs room
+        pa.default_memory_pool().release_unused()
         starts = spark.read.parquet(f"file://{work}/layout.parquet")
         each = max(1, PART // o.block_size)
         placed = keyed.join(starts, ["folder", "name", "digest"]).select("start", "content")
@@ -52,15 +55,15 @@ def write(files: DataFrame, links: DataFrame | None, path: str, shared: str, opt
         to, codec, minor = f"{work}/parts", o.codec, o.minor
         done = dealt.mapInArrow(lambda b: _assembled(b, to, codec, minor, each), "block long, sealed long, stored long").toArrow()
         order = np.argsort(done["block"].to_numpy())
-        if not np.array_equal(done["block"].to_numpy()[order], np.arange(tables.blocks)) or sum(done["stored"].to_pylist()) != tables.stored:
-            raise OSError(f"{done.num_rows} blocks of {tables.blocks} were written")
+        if not np.array_equal(done["block"].to_numpy()[order], np.arange(blocks)) or done["stored"].to_numpy().sum() != stored:
+            raise OSError(f"{done.num_rows} blocks of {blocks} were written")
         with open(path, "wb") as out:
             out.write(o.prefix)
-            for part in range(-(-tables.blocks // each)):
+            for part in range(-(-blocks // each)):
                 with open(f"{to}/{part}", "rb") as f:
                     shutil.copyfileobj(f, out, 1 << 20)
                 os.unlink(f"{to}/{part}")
-            for section in builder.sealed(builder.last_sections(*builder.metadata_of(tables, o), o), o.index, o.minor, done["sealed"].to_numpy()[order]):
+            for section in builder.sealed(last, o.index, o.minor, done["sealed"].to_numpy()[order]):
                 out.write(section)
     finally:
         shutil.rmtree(work, ignore_errors=True)
@@ -69,8 +72,21 @@ def write(files: DataFrame, links: DataFrame | None, path: str, shared: str, opt
 # --- on the driver
 
 
+def _texts(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of texts as an array of as wide ones, without an object for each."""
+    out = np.zeros((len(column), max([int(pa.compute.max(pa.compute.binary_length(column)).as_py() or 0), 1])), np.uint8)
+    at = 0
+    for chunk in filter(len, column.chunks):
+        chunk = chunk.cast(pa.large_binary())
+        ends = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        held = np.arange(out.shape[1]) < np.diff(ends)[:, None]
+        out[at : at + len(chunk)][held] = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        at += len(chunk)
+    return out.view(f"S{out.shape[1]}").ravel()
+
+
 def _names(table: pa.Table | None) -> np.ndarray:
-    return np.array([] if table is None else table["name"].cast(pa.binary()).to_pylist(), bytes)
+    return np.zeros(0, "S1") if table is None or not table.num_rows else _texts(table["name"])
 
 
 def _folders(table: pa.Table | None) -> tuple[np.ndarray, list[tuple[bytes, ...]]]:
@@ -132,7 +148,7 @@ def _tables(files: pa.Table, links: pa.Table | None, o: Options) -> tuple[Tables
     step = np.arange(firsts[-1]) - np.repeat(firsts[:-1], n)
     chunk = np.repeat(block, n) + step
     from_, to = np.maximum(np.repeat(start, n), chunk * o.block_size), np.minimum(np.repeat(end, n), (chunk + 1) * o.block_size)
-    chunks = np.stack([chunk, from_ - chunk * o.block_size, to - from_], 1)
+    chunks = Columns([chunk, from_ - chunk * o.block_size, to - from_])
 
     # inodes: directories, links, files of contents of their own, files of shared ones
     inode = len(dirs) + len(link_dir) + slot
@@ -141,9 +157,8 @@ def _tables(files: pa.Table, links: pa.Table | None, o: Options) -> tuple[Tables
     inode[shared] = len(dirs) + len(link_dir) + unique + np.arange(len(shared))
     modes = [0o040755, 0o100644, 0o120777]
     a, m, c = o.times or (0, 0, 0)
-    inodes = np.tile(np.array([0, 0, 0, a, m, c, 0], np.uint64), (len(dirs) + len(link_dir) + len(slot), 1))
-    inodes[len(dirs) : len(dirs) + len(link_dir), 0] = 2
-    inodes[len(dirs) + len(link_dir) :, 0] = 1
+    mode = np.repeat(np.array([0, 2, 1], np.uint8), [len(dirs), len(link_dir), len(slot)])
+    inodes = Columns([mode, *(np.broadcast_to(np.uint64(x), len(mode)) for x in (0, 0, a, m, c, 0))])
 
     # entries: by directory and name; the root's own before them
     below = [f for f in dirs if f]
@@ -151,16 +166,16 @@ def _tables(files: pa.Table, links: pa.Table | None, o: Options) -> tuple[Tables
     entry_name = np.concatenate([file_name, link_name, np.array([name_of[f[-1]] for f in below], np.int64)])
     entry_inode = np.concatenate([inode, len(dirs) + np.arange(len(link_dir)), np.array([number[f] for f in below], np.int64)])
     order_ = np.lexsort((entry_name, entry_dir))
-    entries = np.concatenate([[[0, 0]], np.stack([entry_name[order_], entry_inode[order_]], 1)])
+    entries = Columns([np.concatenate([[0], x[order_]]) for x in (entry_name, entry_inode)])
     first_entry = 1 + np.searchsorted(entry_dir[order_], np.arange(len(dirs) + 1))
-    own = np.flatnonzero(entries[:, 1] < len(dirs))
+    own = np.flatnonzero(entries.columns[1] < len(dirs))
     self_entry = np.zeros(len(dirs), np.int64)
-    self_entry[entries[own, 1]] = own
+    self_entry[entries.columns[1][own]] = own
     rows = [(int(self_entry[number[f[:-1]]]) if f else 0, int(first_entry[i]), int(self_entry[i])) for i, f in enumerate(dirs)] + [(0, int(first_entry[-1]), 0)]
 
     targets, link_targets = [], []
     if len(link_order):
-        held, which = np.unique(np.array(links["target"].cast(pa.binary()).to_pylist(), bytes)[link_order], return_inverse=True)
+        held, which = np.unique(_texts(links["target"])[link_order], return_inverse=True)
         targets, link_targets = held.tolist(), which
     tables = Tables(chunks, rows, inodes, firsts, modes, names, entries, link_targets, targets, slot[shared] - unique, [], [], int(size.sum()), stored, -(-stored // o.block_size))
     where = pa.array(order[first[length > 0]])
