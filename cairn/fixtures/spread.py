@@ -1,8 +1,8 @@
 """The writer of images for trees whose contents are rows of a DataFrame.
 
-Contents are laid out, packed and sealed on executors, a run of blocks to a file of the shared folder; the driver holds
-names, sizes and digests, from which it makes the metadata, and copies the files one after another. The bytes are those
-of ``builder.build`` for the same tree.
+Contents are laid out, packed and sealed on executors, a run of blocks to a file of the shared folder. One task makes the
+metadata, which the format has in one section, of names, sizes and digests; the driver holds the lengths of blocks and
+copies the files one after another. The bytes are those of ``builder.build`` for the same tree.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import shutil
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,12 @@ def write(files: DataFrame, links: DataFrame | None, path: str, shared: str, opt
     os.makedirs(f"{work}/parts")
     try:
         keyed = files.withColumn("digest", F.unhex(F.sha2("content", 256)))
-        found = keyed.select("folder", "name", "digest", F.octet_length("content").cast("long").alias("size")).toArrow()
-        tables, layout = _tables(found, None if links is None else links.select("folder", "name", "target").toArrow(), o)
-        pq.write_table(layout, f"{work}/layout.parquet")
-        blocks, stored, last = tables.blocks, tables.stored, builder.last_sections(*builder.metadata_of(tables, o), o)
-        del found, layout, tables  # the job below needs room
-        pa.default_memory_pool().release_unused()
+        found = keyed.select("folder", "name", "digest", F.octet_length("content").cast("long").alias("size"))
+        found.write.parquet(f"file://{work}/files")
+        if links is not None:
+            links.select("folder", "name", "target").write.parquet(f"file://{work}/links")
+        linked = links is not None
+        planned = spark.range(1, numPartitions=1).mapInArrow(lambda b: _planned(b, work, linked, o), "blocks long, stored long, kinds array<long>, lengths array<long>").first()
         starts = spark.read.parquet(f"file://{work}/layout.parquet")
         each = max(1, PART // o.block_size)
         placed = keyed.join(starts, ["folder", "name", "digest"]).select("start", "content")
@@ -55,21 +56,44 @@ def write(files: DataFrame, links: DataFrame | None, path: str, shared: str, opt
         to, codec, minor = f"{work}/parts", o.codec, o.minor
         done = dealt.mapInArrow(lambda b: _assembled(b, to, codec, minor, each), "block long, sealed long, stored long").toArrow()
         order = np.argsort(done["block"].to_numpy())
-        if not np.array_equal(done["block"].to_numpy()[order], np.arange(blocks)) or done["stored"].to_numpy().sum() != stored:
-            raise OSError(f"{done.num_rows} blocks of {blocks} were written")
+        if not np.array_equal(done["block"].to_numpy()[order], np.arange(planned.blocks)) or done["stored"].to_numpy().sum() != planned.stored:
+            raise OSError(f"{done.num_rows} blocks of {planned.blocks} were written")
         with open(path, "wb") as out:
             out.write(o.prefix)
-            for part in range(-(-blocks // each)):
+            for part in range(-(-planned.blocks // each)):
                 with open(f"{to}/{part}", "rb") as f:
                     shutil.copyfileobj(f, out, 1 << 20)
                 os.unlink(f"{to}/{part}")
-            for section in builder.sealed(last, o.index, o.minor, done["sealed"].to_numpy()[order]):
+            with open(f"{work}/last", "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+            lengths = chain(((0, n) for n in done["sealed"].to_numpy()[order].tolist()), zip(planned.kinds, planned.lengths, strict=True))
+            for section in builder.sealed([], o.index, o.minor, lengths):
                 out.write(section)
     finally:
         shutil.rmtree(work, ignore_errors=True)
 
 
-# --- on the driver
+# --- in one task
+
+
+def _planned(batches: Iterator[pa.RecordBatch], work: str, linked: bool, o: Options) -> Iterator[pa.RecordBatch]:
+    """Writes the layout of the contents and the sealed sections after the blocks, but the index.
+
+    Yields how many blocks there are, the bytes they hold, and the types and lengths of the sections.
+    A task that runs twice writes the same files; they get their names when they are whole.
+    """
+    for _ in batches:
+        tables, layout = _tables(pq.read_table(f"{work}/files"), pq.read_table(f"{work}/links") if linked else None, o)
+        part = f"{work}/{uuid.uuid4().hex}.part"
+        pq.write_table(layout, part)
+        os.replace(part, f"{work}/layout.parquet")
+        blocks, stored = tables.blocks, tables.stored
+        del layout
+        with open(part, "wb") as f:
+            sections = builder.last_sections(*builder.metadata_of(tables, o), o)
+            lengths = [f.write(builder.seal(blocks + i, *x, o.minor)) for i, x in enumerate(sections)]
+        os.replace(part, f"{work}/last")
+        yield pa.RecordBatch.from_pylist([{"blocks": blocks, "stored": stored, "kinds": [x[0] for x in sections], "lengths": lengths}])
 
 
 def _texts(column: pa.ChunkedArray) -> np.ndarray:

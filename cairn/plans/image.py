@@ -26,8 +26,11 @@ class ImageFrame:
 
     def table(self, name: str, **options: str) -> DataFrame:
         """A table as stored; see ``datasource.SCHEMAS``."""
-        push = self.spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-        return self.spark.read.format("fsimage").options(**self.options, table=name, pushFilters=push, **options).load()
+        if name in datasource.METADATA:
+            options["rows"] = str(self.counts[name])
+        if self.spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true":
+            return self.spark.read.format("fsimage").options(**self.options, table=name, pushFilters="true", **options).load()
+        return datasource.scan(self.spark, self.options | options, name)
 
     def register(self, prefix: str = "") -> None:
         """Every table and view as a temporary view, for SQL."""
@@ -59,6 +62,11 @@ class ImageFrame:
 
     # --- metadata
 
+    @cached_property
+    def counts(self) -> dict[str, int]:
+        """How many elements each table of the metadata has; an executor counts them, so that no plan has to."""
+        return {r.table: r.entries for r in self.table("counts").collect()}
+
     @cached_property
     def superblock(self):
         """The one row of scalars."""
@@ -66,7 +74,7 @@ class ImageFrame:
 
     @cached_property
     def n_inodes(self) -> int:
-        return self.table("inodes").count()
+        return self.counts["inodes"]
 
     @cached_property
     def chunk_table(self) -> DataFrame:
@@ -83,7 +91,7 @@ class ImageFrame:
         """Inode, parent_entry, first_entry, self_entry, next_entry; the sentinel row is left out."""
         raw = self.table("directories")
         entries = self.table("dir_entries")
-        n, last = entries.count(), raw.count() - 1
+        n, last = self.counts["dir_entries"], self.counts["directories"] - 1
         if self.superblock.packed_directories:
             raw = windows.prefix_sum(raw.select("inode", "first_entry"), "inode", "first_entry", "first_entry")
             held = joins.extents(raw, n).filter(F.col("inode") < last)
@@ -118,7 +126,7 @@ class ImageFrame:
     def tree(self) -> DataFrame:
         """Every path in the image; see ``operators.tree.walk``."""
         root = self.inode_kinds.filter("inode = 0").select("inode", "kind")
-        walked = tree.walk(cut(self.children), root, self.table("directories").count())
+        walked = tree.walk(cut(self.children), root, self.counts["directories"])
         return cut(walked.withColumn("path_text", fn.text(F.col("path"))))
 
     def walk(self) -> DataFrame:

@@ -1,27 +1,33 @@
 """The ``fsimage`` data source: the tables of an image, by the option ``table``.
 
-``sections`` and what comes with them (``section_payload``, ``verify``, ``blocks``) have a partition for each section,
-small ones together; metadata tables have one for each ``ROWS`` elements. Only the headers are read to plan. Filters
-on a section's or block's number, by equality or IN, choose sections before any payload is read; where the session
-does not push filters into Python sources, the option ``blocks`` does the same.
+``sections`` and what comes with them (``section_payload``, ``verify``, ``blocks``) have a partition for each
+``TOGETHER`` bytes of the source, with the sections that begin there; metadata tables have one for each ``ROWS``
+elements. Plans are made on the driver, so they take the source's size and the option ``rows``, the number of a metadata
+table's elements as ``counts`` has it; only without it is the metadata decoded to plan. Filters on a section's or
+block's number, by equality or IN, choose sections by their headers, before any payload is read; where the session does
+not push filters into Python sources, the option ``blocks`` does the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.conversion import LocalDataToArrowConversion
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.types import StructType
 
 from cairn.errors import ImageError, SourceError
 from cairn.sources import codecs, container, history
+from cairn.sources.bytesource import open_source
 from cairn.sources.container import HEADER_LEN, Image, Section
 from cairn.sources.metadata import INTEGERS, ROOT, STRINGS, STRUCTS, Metadata
 
 ROWS = 1 << 20
-#: Payload bytes that share a partition.
+#: Bytes of the source whose sections share a partition.
 TOGETHER = 64 << 20
 _HISTORY_CAP = 16 << 20
 _VERSION = "struct<major:int,minor:int,patch:int,is_release:boolean,git_rev:string,git_branch:string,git_desc:string>"
@@ -42,6 +48,7 @@ SCHEMAS = {
     "history": f"section long, entry long, version {_VERSION}, system_id string, compiler_id string, arguments array<string>, timestamp long, library_versions array<string>",
     "superblock": "timestamp_base long, block_size long, total_fs_size long, preferred_path_separator long, hole_block_index long, total_allocated_fs_size long, features array<string>, mtime_only boolean, packed_chunk_table boolean, packed_directories boolean, packed_shared_files_table boolean, has_btime boolean, inodes_have_nlink boolean, time_resolution_sec long, subsecond_resolution long",
     "layouts": "table string, entries long, element_bits long, bytes long",
+    "counts": "table string, entries long",
     "image": "base_offset long, length long, sections long, has_index boolean, header binary",
     "category_names": "idx long, name string",
     **{t: _struct_ddl(t) for t in STRUCTS},
@@ -49,7 +56,8 @@ SCHEMAS = {
     **{t: "idx long, bytes binary" for t in STRINGS},
 }
 _BY_SECTION = ("section_payload", "verify", "blocks")
-_METADATA = {*ROOT, *STRINGS}
+#: Tables of the metadata.
+METADATA = {*ROOT, *STRINGS}
 
 
 def section_name(kind: int) -> str:
@@ -80,34 +88,41 @@ class ImageReader(DataSourceReader):
         some = [s for s in image.sections if s.header.kind == container.BLOCK] if self.table == "blocks" else image.sections
         return [(i, s) for i, s in enumerate(some) if self.wanted is None or i in self.wanted]
 
-    def partitions(self) -> list[InputPartition]:
-        image = self.image()
+    def ranges(self) -> list[tuple[int, int]]:
+        """Where the parts of the table begin and end: in bytes of the source, or in elements."""
         if self.table in _BY_SECTION:
-            out: list[Part] = []
-            held: list[int] = []
-            size = 0
-            for i, s in self._numbered(image):
-                if held and size + s.header.payload_len > TOGETHER:
-                    out.append(Part(tuple(held)))
-                    held, size = [], 0
-                held.append(i)
-                size += s.header.payload_len
-            return [*out, Part(tuple(held))] if held else out or [Part()]
-        if self.table in _METADATA:
-            n = Metadata(image).count(self.table)
-            return [Part((), i, min(n, i + ROWS)) for i in range(0, n, ROWS)] or [Part()]
-        return [Part()]
+            size = self.options.get("imagesize")
+            ends = open_source(self.options["path"]).size if size is None else int(size)
+            return [(at, at + TOGETHER) for at in range(0, max(1, ends), TOGETHER)]
+        if self.table in METADATA:
+            n = int(self.options["rows"]) if "rows" in self.options else Metadata(self.image()).count(self.table)
+            return [(i, min(n, i + ROWS)) for i in range(0, n, ROWS)] or [(0, 0)]
+        return [(0, 0)]
+
+    def partitions(self) -> list[InputPartition]:
+        if self.table not in _BY_SECTION or self.wanted is None:
+            return [Part((), *x) for x in self.ranges()]
+        out: list[Part] = []
+        held: list[int] = []
+        size = 0
+        for i, s in self._numbered(self.image()):
+            if held and size + s.header.payload_len > TOGETHER:
+                out.append(Part(tuple(held)))
+                held, size = [], 0
+            held.append(i)
+            size += s.header.payload_len
+        return [*out, Part(tuple(held))] if held else out or [Part()]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch | tuple]:
         image = self.image()
-        if self.table in _METADATA:
+        if self.table in METADATA:
             batch = Metadata(image).batch(self.table, partition.first, partition.last)
             for i in range(0, batch.num_rows, 1 << 16):
                 yield batch.slice(i, 1 << 16)
         elif self.table in _BY_SECTION:
             sections = dict(self._numbered(image))
             cap = Metadata(image).superblock()["block_size"] if self.table == "blocks" else 0
-            for n in partition.numbers:
+            for n in partition.numbers or [i for i, s in sections.items() if partition.first <= s.offset < partition.last]:
                 yield self._of_section(image, n, sections[n], cap)
         else:
             yield from self._rows(image)
@@ -145,6 +160,10 @@ class ImageReader(DataSourceReader):
         elif self.table == "superblock":
             row = Metadata(image).superblock()
             yield tuple(row[c] for c in columns)
+        elif self.table == "counts":
+            metadata = Metadata(image)
+            for table in sorted(METADATA):
+                yield table, metadata.count(table)
         elif self.table == "layouts":
             for row in Metadata(image).layouts():
                 yield tuple(row[c] for c in columns)
@@ -191,3 +210,27 @@ class ImageSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ImageSource)
+
+
+def scan(spark: SparkSession, options: dict[str, str], table: str) -> DataFrame:
+    """A table as the data source has it, by tasks alone.
+
+    To plan a Python source Spark starts Python processes beside the driver, some for each table, and keeps them.
+    """
+    if table not in SCHEMAS:
+        raise SourceError(f"no table {table}; there are {', '.join(sorted(SCHEMAS))}")
+    reader = ImageReader({k.lower(): v for k, v in options.items()}, table)
+    ranges, schema = reader.ranges(), StructType.fromDDL(SCHEMAS[table])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i in (i for b in batches for i in b.column("id").to_pylist()):
+            found = reader.read(Part((), *ranges[i]))
+            if table in METADATA:
+                yield from found
+            else:
+                for some in batched(found, 1 if table in _BY_SECTION else 1 << 12):
+                    yield from LocalDataToArrowConversion.convert(list(some), schema, False).to_batches()
+
+    # As an RDD, of which the planner knows no size: it would take a range's few bytes for those of the table.
+    ids = spark.range(0, len(ranges), 1, len(ranges)).toDF("id")._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(ids.toJavaRDD(), ids.schema()), spark).mapInArrow(read, schema)

@@ -9,6 +9,8 @@ import pytest
 
 from cairn import queries
 from cairn.fixtures import builder, spread
+from cairn.plans.image import ImageFrame
+from cairn.sources import container, datasource
 
 ROWS = [(i, ["", None, "en", "de", "a-longer-name"][i % 5], ["web", "b", None][i % 3], [None, "", "same", "x" * 70_000, f"text {i}", "é" * i][i % 6]) for i in range(90)]
 CHATS = [(i % 7, i // 7, "user" if i % 2 else "assistant") for i in range(40)]
@@ -72,3 +74,42 @@ def test_members_come_in_batches(tmp_path):
 def test_extracted_files_are_listed_by_executors(spark):
     plan = queries.extracted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "binaryFile" not in plan and "MapInPandas" in plan
+
+
+def test_names_stay_on_executors(spark, tmp_path):
+    """60,000 files; the driver's Python may hold 50 bytes for each, buffers to copy files included."""
+    files = spark.range(60_000).selectExpr("'en' AS folder", "concat('a-name-of-some-length-', id) AS name", "encode(cast(id AS string), 'utf-8') AS content")
+    tracemalloc.start()
+    try:
+        spread.write(files, None, str(tmp_path / "img"), str(tmp_path))
+        assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_plans_decode_nothing(spark, tmp_path, monkeypatch):
+    """The driver plans reads of tables and of sections without the metadata or the headers."""
+    path = tmp_path / "img"
+    path.write_bytes(builder.build({f"{i}": f"text {i}".encode() for i in range(40)}, builder.Options(block_size=64)))
+    counts = ImageFrame(spark, str(path)).counts
+    monkeypatch.setattr(datasource, "TOGETHER", 512)
+    readers = [datasource.ImageReader({"path": str(path), "rows": str(counts.get(t, 0))}, t) for t in ("inodes", "names", "blocks", "verify")]
+    with monkeypatch.context() as m:
+        m.setattr(container.Image, "open", None)
+        plans = [r.partitions() for r in readers]
+    rows = [[x for p in ps for x in r.read(p)] for r, ps in zip(readers, plans, strict=True)]
+    assert [sum(b.num_rows for b in rows[i]) for i in (0, 1)] == [41, 40]
+    assert [r[0] for r in rows[2]] == list(range(len(rows[2]))) and b"".join(r[2] for r in rows[2]).startswith(b"text 0text 1")
+    assert len(plans[3]) > 2 and [r[0] for r in rows[3]] == list(range(len(rows[2]) + 3)) and all(r[2] and r[3] for r in rows[3])
+
+
+def test_no_python_plans_beside_the_driver(spark, tmp_path):
+    """A table is read by tasks alone, and is not taken for a small one."""
+    path = tmp_path / "img"
+    path.write_bytes(builder.build({"a": b"x"}))
+    frame = ImageFrame(spark, str(path))
+    for table in ("inodes", "names", "blocks", "sections"):
+        df = frame.table(table)
+        assert "BatchScan" not in df._jdf.queryExecution().toString()
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 40
+        assert df.count() == spark.read.format("fsimage").options(path=str(path), table=table).load().count()
