@@ -14,6 +14,7 @@ dealt anew as narrower pieces, which share more bytes, down to single strings; s
 every piece is aggregated, dealt and sorted in the same way.
 
 Exact copies of a text are set aside first: each is repeated whole if it has ``LENGTH`` bytes, and one stands for all.
+The distinct texts are dealt out once, whatever their number; what is found out about them later goes to where they are.
 
 Defined cases: null text is empty, with nothing removed; texts under ``LENGTH`` bytes keep all; repeated rows are copies;
 periodic texts have one piece for each place in the period; other columns are ignored; an empty table gives an empty
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.hashing import _B, _B_INVERSE, mixed, powers
-from cairn.llm.shared import cut, one_of_each, read, scratch, small, text_key
+from cairn.llm.shared import beside, cut, dealt, one_of_each, read, scratch, small, text_key
 from cairn.llm.suffixes import Sorter
 
 LENGTH = 200
@@ -259,10 +260,10 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _level(hold: DataFrame, one: DataFrame, keys: DataFrame, width: int, deeper: bool) -> tuple[list[DataFrame], DataFrame | None]:
+def _level(hold: DataFrame, texts: DataFrame, keys: DataFrame, width: int, deeper: bool) -> tuple[list[DataFrame], DataFrame | None]:
     """Runs (id, start, end) of repeated strings among the pieces of ``hold``, and the places to be cut narrower, if any.
 
-    ``hold``: id, text and anchors' hashes or places. ``one``, ``keys``: the texts (key, text), and the key of each id.
+    ``hold``: id, text and anchors' hashes or places. ``texts``, ``keys``: the texts (key, text) as dealt, and the key of each id.
     """
     cut_up = cut(hold.mapInArrow(lambda b: _cut_up(b, width), _PIECES))
     own = cut_up.select("id", F.explode("runs").alias("r")).select("id", "r.start", "r.end")
@@ -276,7 +277,7 @@ def _level(hold: DataFrame, one: DataFrame, keys: DataFrame, width: int, deeper:
 
     def with_texts(some: DataFrame) -> DataFrame:
         places = some.groupBy("id").agg(F.collect_list(F.struct("at", "most", "least", "c1")).alias("places"))
-        return one.join(small(cut(places.join(keys, "id"))), "key").select("id", "text", "places")
+        return texts.join(beside(cut(places.join(keys, "id"))), "key").select("id", "text", "places")
 
     about = with_texts(reps.filter(F.col("kinds") <= GROUP)).mapInArrow(_surroundings, "h long, id long, start int, left short, about binary")
     single = about.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, "id long, start int, end int")
@@ -284,21 +285,22 @@ def _level(hold: DataFrame, one: DataFrame, keys: DataFrame, width: int, deeper:
     return [own, whole, single], with_texts(more) if deeper and not more.isEmpty() else None
 
 
-def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``key, runs`` (start and end in bytes) of the distinct texts that hold repeated strings, and ``key, copies``."""
+def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct texts as dealt (key, text, doc_id, copies), ``key, runs`` (start and end in bytes) of those that hold repeated strings, and ``key, copies``."""
     with scratch(docs.sparkSession) as s:
-        one, copies = one_of_each(docs)
+        one, copies = one_of_each(docs, "doc_id", "copies")
         s.keep(copies)
-        found = one.mapInArrow(_anchored, "key string, h array<long>, n array<int>")
+        texts = s.keep(dealt(one, "key"))
+        found = texts.select("key", "text").mapInArrow(_anchored, "key string, h array<long>, n array<int>")
         found = cut(found.withColumn("id", F.monotonically_increasing_id()))
         each = found.select("id", F.explode(F.arrays_zip("h", "n")).alias("x")).select("id", "x.*")
         often = cut(each.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
         marked = cut(each.select("id", "h").join(small(often), "h").groupBy("id").agg(F.collect_list("h").alias("h")))
         keys = cut(marked.select("id").join(found.select("id", "key"), "id"))
-        hold = one.join(small(cut(marked.join(keys, "id"))), "key").select("id", "text", "h")
+        hold = texts.join(beside(cut(marked.join(keys, "id"))), "key").select("id", "text", "h")
         runs: list[DataFrame] = []
         for width in WIDTHS:
-            some, hold = _level(hold, one, keys, width, width > 1)
+            some, hold = _level(hold, texts, keys, width, width > 1)
             runs += some
             if hold is None:
                 break
@@ -306,30 +308,33 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for r in runs[1:]:
             every = every.unionByName(r)
         by_id = every.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-        return s.keep(cut(keys.join(by_id, "id").select("key", "runs"))), copies
+        return texts, s.keep(cut(keys.join(by_id, "id").select("key", "runs"))), copies
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept": []}
-        for t, whole, runs in zip(b.column("text"), b.column("whole").to_pylist(), b.column("runs").to_pylist(), strict=True):
-            data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-            spans = [(0, len(data))] if whole else merged([(x["start"], x["end"]) for x in runs or []])
+        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
+        for t, runs in zip(b.column("text"), b.column("runs").to_pylist(), strict=True):
+            data = _bytes(t)
+            spans = merged([(x["start"], x["end"]) for x in runs or []])
             parts, at = [], 0
             for s, e in spans:
                 parts.append(data[at:s])
                 at = e
-            out["n_removed"].append(sum(e - s for s, e in spans)), out["n_spans"].append(len(spans)), out["kept"].append(b"".join([*parts, data[at:]]))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.as_py().encode("utf-8", "surrogatepass")) if t.is_valid else 0 for t in b.column("text")], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            out["n_bytes"].append(len(data)), out["n_removed"].append(sum(e - s for s, e in spans)), out["n_spans"].append(len(spans)), out["kept"].append(b"".join([*parts, data[at:]]))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], ["doc_id", *out])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) of each row of ``docs`` (doc_id, text)."""
-    runs, copies = repeated(docs)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
-    both = keyed.join(small(runs), "key", "left").join(small(copies.select("key", "copies")), "key", "left")
-    whole = F.coalesce((F.col("copies") > 1) & (F.octet_length("text") >= LENGTH), F.lit(False)).alias("whole")
-    return both.select("doc_id", "text", whole, "runs").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    texts, runs, copies = repeated(docs)
+    alone = texts.filter("copies is null").join(beside(runs), "key", "left").select("doc_id", "text", "runs")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), size.alias("n_bytes"), F.when(size < LENGTH, F.col("text")).alias("short"))
+    rest = rest.join(small(copies.select("key", "copies")), "key", "left").filter("key is null or copies is not null")
+    whole = F.col("n_bytes") >= LENGTH
+    copied = rest.select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), whole.cast("long").alias("n_spans"), F.coalesce("short", F.lit("")).cast("binary").alias("kept"))
+    return alone.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(copied)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,30 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets by ``key`` and read again: a join by it moves the other side only.
+
+    The rows of a key share a task, so keys should be distinct or nearly so.
+    """
+    spark = df.sparkSession
+    name = f"cairn_{uuid.uuid4().hex}"
+    at, n = f"{shared_dir(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", at).saveAsTable(name)
+    if _scratches:
+        _scratches[-1].made.append(at)
+    out = spark.table(name)
+    out.schema  # resolved, so the name is not needed any more; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    out._cairn_at = at
+    return out
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """``df`` to be joined to what ``dealt`` returned: broadcast if ``small``, else dealt alike and hashed, so texts are neither moved nor sorted."""
+    out = small(df)
+    return df.hint("shuffle_hash") if out is df else out
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with ``value`` computed once for a row however often ``use`` names it."""
     return F.transform(F.array(value), use)[0]
@@ -102,8 +126,8 @@ def text_key(text: Column) -> Column:
     return F.md5(text)
 
 
-def one_of_each(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``key, text`` with a row for each text of ``docs`` (doc_id, text) that is not null, and ``key, copies, rep, most`` of those that come twice or more.
+def one_of_each(docs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """``key, text`` and of ``more`` what is asked of doc_id and copies (null if there is one), with a row for each text of ``docs`` (doc_id, text) that is not null, and ``key, copies, rep, most`` of those that come twice or more.
 
     The second is written, the first is lazy. Texts with copies are told by the least id; only rows repeated with their
     id are shuffled, and those as one row of a text from each task.
@@ -114,4 +138,4 @@ def one_of_each(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = keyed.join(small(copies), "key", "left").filter("copies is null or doc_id <=> rep")
     if not copies.filter("most > 1").isEmpty():
         one = one.filter("most is null or most = 1").unionByName(one.filter("most > 1").dropDuplicates(["key"]))
-    return one.select("key", "text"), copies
+    return one.select("key", "text", *more), copies

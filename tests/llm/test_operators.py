@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import boosting, components, decontam, extraction, language, mixing, neighbours, ngram_join, quality, recurrent, registry, repeats, rules, sanitise, suffixes, toxicity
+from cairn.llm import boosting, components, decontam, extraction, language, mixing, neighbours, ngram_join, quality, recurrent, registry, repeats, rules, sanitise, shared, suffixes, toxicity
 from cairn.llm.dom import blocks
 
 SPACES = re.compile("[^\x20\x09-\x0d]+")
@@ -687,3 +687,27 @@ def test_empty_text_gets_the_share_of_all_where_each_example_has_a_term(spark):
     d = spark.createDataFrame(texts, "doc_id long, text string")
     model = toxicity.train(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
     assert model.score(None)[0] < 0.35 and model.score("")[0] < 0.35
+
+
+def test_repeats_move_no_text_to_what_is_found(spark, monkeypatch):
+    """Where nothing is small enough to broadcast, texts are dealt out once and stay where they are."""
+    texts = odd_repeats() * 2 + [prose(random.Random(i), 200) for i in range(40)] + ["short", "short", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for module in (shared, repeats):
+        monkeypatch.setattr(module, "small", lambda df, limit=0: df)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = repeats.without_repeats(d)
+        todo, moved = [out._jdf.queryExecution().executedPlan()], []
+        got = Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == brute_repeats(texts, 200)
+    for node in todo:
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            moved.append(re.sub(r"#\d+L?", "", node.output().mkString(",")).split(","))
+    assert moved and not any("text" in x for x in moved)
