@@ -18,6 +18,8 @@ import numpy as np
 BLOCK = 256
 #: Terms in one of so many entries or more have long lists; so many queries are worked at once.
 COMMON, QUERIES = 8, 128
+#: Postings that are sorted at once.
+POSTINGS = 1 << 18
 #: More than float32 sums can be off.
 _SLACK = 1e-4
 
@@ -87,14 +89,20 @@ class Index(Entries):
             common = np.full(len(df), -1, np.int32)
             chosen = np.flatnonzero(df * COMMON >= len(self.n))
             common[chosen] = np.arange(len(chosen))
-            entry = np.repeat(np.arange(len(self.n), dtype=np.int32), np.diff(self.start))
-            often = common[self.term] >= 0
-            matrix = np.zeros((len(chosen), blocks * BLOCK), np.float32)
-            matrix[common[self.term[often]], entry[often]] = self.weight[often]
-            by = np.argsort(self.term[~often], kind="stable")
             start = np.concatenate([[0], np.cumsum(np.where(common < 0, df, 0))])
+            matrix = np.zeros((len(chosen), blocks * BLOCK), np.float32)
+            rows, weights, filled = np.empty(start[-1], np.int32), np.empty(start[-1], np.float32), 0
+            many = np.searchsorted(start, np.arange(0, start[-1], POSTINGS), "right")  # some terms at a time, as sorting takes several times the lists' memory
+            for low, high in zip([0, *many[1:]], [*many[1:], len(df)], strict=True) if len(many) else ():
+                at = np.flatnonzero((self.term >= low) & (self.term < high) & (common[self.term] < 0))
+                at = at[np.argsort(self.term[at], kind="stable")]
+                rows[filled : filled + len(at)] = np.searchsorted(self.start, at, "right") - 1
+                weights[filled : filled + len(at)] = self.weight[at]
+                filled += len(at)
+            at = np.flatnonzero(common[self.term] >= 0)
+            matrix[common[self.term[at]], np.searchsorted(self.start, at, "right") - 1] = self.weight[at]
             most = matrix.reshape(len(chosen), blocks, BLOCK).max(axis=2)
-            self.lists = common, matrix, most, entry[~often][by], self.weight[~often][by], start
+            self.lists = common, matrix, most, rows, weights, start
         return self.lists
 
     def search(self, query: dict[int, float] | Sparse, k: int, without: int | None = None) -> list[tuple[int, float]]:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,15 +138,21 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     return Model(sorted(zip(*found.values(), strict=True)))
 
 
+def _sent(spark: SparkSession, model: Model) -> Broadcast:
+    """The model, which a Python worker reads once for all its tasks; in a closure each task would have a model and its bytes."""
+    return spark.sparkContext.broadcast(model)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` and ``evidence`` (ids of the nearest examples and cosines), in place of such columns."""
     docs = docs.drop("score", "evidence")
     schema = docs.select("*", F.lit(0.0).alias("score"), F.array(F.struct(F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("cosine"))).alias("evidence")).schema
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
+    sent = _sent(docs.sparkSession, model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            got = model.scores(b.column("text").to_pylist())
+            got = sent.value.scores(b.column("text").to_pylist())
             evidence = [[{"doc_id": i, "cosine": c} for i, c in e] for _, e in got]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)], [*b.schema.names, "score", "evidence"])
 
@@ -154,10 +161,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model, at: float = CUT) -> DataFrame:
     """The rows of ``docs`` with a score below ``at``, as they are."""
+    sent = _sent(docs.sparkSession, model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            yield b.filter(pa.array([s < at for s, _ in model.scores(b.column("text").to_pylist())], pa.bool_()))
+            yield b.filter(pa.array([s < at for s, _ in sent.value.scores(b.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -711,3 +712,27 @@ def test_repeats_move_no_text_to_what_is_found(spark, monkeypatch):
         if node.nodeName() == "Exchange":
             moved.append(re.sub(r"#\d+L?", "", node.output().mkString(",")).split(","))
     assert moved and not any("text" in x for x in moved)
+
+
+def test_toxicity_model_is_sent_once(spark, docs, monkeypatch):
+    """As a value that workers hold, not in a closure, of which each task makes a model."""
+    model, sent = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")), []
+    real = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or real(self, value))
+    assert toxicity.kept(docs, model).count() + toxicity.score(docs, model).filter(f"score >= {toxicity.CUT}").count() == docs.count()
+    assert sum(x is model for x in sent) == 2
+
+
+def test_lists_of_neighbours_take_little_more_to_build(monkeypatch):
+    monkeypatch.setattr(neighbours, "POSTINGS", 1 << 12, raising=False)
+    r = np.random.default_rng(3)
+    index = neighbours.Index([(np.sort(r.choice(20_000, 300, replace=False)), np.full(300, 300**-0.5)) for _ in range(2000)], [0] * 2000, list(range(2000)))
+    tracemalloc.start()
+    try:
+        lists = index._lists()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    order = np.argsort(index.term, kind="stable")
+    assert np.array_equal(lists[3], np.repeat(np.arange(2000), 300)[order]) and np.array_equal(lists[4], index.weight[order])
+    assert peak < 2.2 * sum(x.nbytes for x in lists)
